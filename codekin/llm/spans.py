@@ -27,8 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codekin.scratch import materialise
+
 BLOCK_BITS = 16
 CHUNK_ROWS = 1_000_000
+BROADCAST_FILES = 100_000
 BASE_A = 0x9E3779B97F4A7C15
 BASE_B = 0xC2B2AE3D27D4EB4F
 WINDOW_SCHEMA = "w long, v int, repo long, fh long, a int, b int, nx int, direct boolean"
@@ -210,9 +213,12 @@ def shared_intervals(prints: DataFrame, window: int = 16) -> DataFrame:
     )
     order = ["repo", "fh", "blk", "pos", "hash"]
     inner = rows.repartition("repo", "fh", "blk").sortWithinPartitions(*order).mapInArrow(_windows(window, True), WINDOW_SCHEMA)
-    long_files = rows.where(F.col("blk") > 0).select("repo", "fh").distinct()
+    windows = inner
+    # Pushed down to the scan; most collections have few files beyond one block, or none.
+    long_files = materialise(prints.where(F.col("pos") >= 1 << BLOCK_BITS).where("hash is not null and repo is not null and file is not null").select(F.col("repo").cast("long").alias("repo"), F.xxhash64("file").alias("fh")).distinct(), "long_files")
+    n_long = long_files.count()
     borders = (
-        rows.join(long_files, ["repo", "fh"], "left_semi")
+        rows.join(F.broadcast(long_files) if n_long <= BROADCAST_FILES else long_files, ["repo", "fh"], "left_semi")
         .repartition("repo", "fh", "blk")
         .sortWithinPartitions(*order)
         .mapInArrow(_border_rows(window), "repo long, fh long, blk int, pos int, hash long, gap byte")
@@ -220,9 +226,11 @@ def shared_intervals(prints: DataFrame, window: int = 16) -> DataFrame:
         .sortWithinPartitions(*order)
         .mapInArrow(_windows(window, False), WINDOW_SCHEMA)
     )
+    if n_long:
+        windows = windows.unionByName(borders)
     g = Window.partitionBy("w", "v")
     shared = (
-        inner.unionByName(borders)
+        windows
         .withColumn("many", (F.min("repo").over(g) < F.max("repo").over(g)) | (F.min("fh").over(g) < F.max("fh").over(g)))
         .where("direct or many")
         .select("repo", "fh", "a", "b", "nx")
