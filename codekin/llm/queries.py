@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codekin.llm import groups, setjoin, spans, termstats
+from codekin.llm import groups, handwritten, history, leakage, packing, readlevel, setjoin, spans, termstats
 from codekin.scratch import materialise
 from codekin.sources.tables import table
 
@@ -18,6 +18,18 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_report(table(spark, d, "print"), table(spark, d, "repo"))
 
 
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "print"), table(spark, d, "source_files"), table(spark, d, "repo"), table(spark, d, "boiler"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d).select("repo", "file")
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d).groupBy("kind").agg(F.count("*").alias("files"), F.countDistinct("repo").alias("repos"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     join = setjoin.repository_pairs(table(spark, d, "print"), table(spark, d, "boiler"))
     return setjoin.expand_pairs(join).toDF("repo_a", "repo_b")
@@ -27,6 +39,10 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.link_counts(setjoin.repository_pairs(table(spark, d, "print"), table(spark, d, "boiler")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.first_matches(table(spark, d, "candidates"), table(spark, d, "print"), table(spark, d, "boiler"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.repository_groups(table(spark, d, "edges"), table(spark, d, "repo"))
 
@@ -47,8 +63,34 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return termstats.merge(None, termstats.changes(None, terms)).select(F.col("term").alias("hash"), "n_rows", "n_records")
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_pages(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.packed_pages(table(spark, d, "documents")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    n = found.groupBy("item_id").agg(F.count("*").alias("pages"), F.max("words").alias("most_words"))
+    return table(spark, d, "eval_items").select("item_id", "suite").join(n, "item_id", "left").select("item_id", "suite", F.coalesce("pages", F.lit(0)).alias("pages"), "most_words")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return readlevel.reading_bands(table(spark, d, "documents"), table(spark, d, "level_labels"))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    return p10_found(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count("*").alias("pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_links, p5_found, p5_assigned, p7_found, p7_counts)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_kinds, p3_found, p3_links, p4_found, p5_found, p5_assigned, p7_found, p7_counts, p8_packed, p8_fill, p9_found, p9_items, p10_found, p10_profile)}
 
 
 SETS = "s AS (SELECT DISTINCT repo, hash FROM print WHERE hash IS NOT NULL AND repo IS NOT NULL AND hash NOT IN (SELECT hash FROM boiler WHERE hash IS NOT NULL)), z AS (SELECT repo, count(*) AS n FROM s GROUP BY repo)"
@@ -82,6 +124,14 @@ def oracle_sql() -> dict[str, str]:
         "p3_links": f"""WITH {PAIRS}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), k AS (SELECT a, count(*) AS links FROM e GROUP BY a),
             f AS (SELECT repo, list(hash ORDER BY hash) AS h FROM s GROUP BY repo)
             SELECT f.repo AS id, min(f.repo) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS members, coalesce(links, 0) AS links FROM f LEFT JOIN k ON k.a = f.repo""",
+        "p4_found": f"""WITH {PAIRS}, k AS (SELECT cand_id, batch_no, repo,
+                nullif(lower(regexp_replace(regexp_replace(trim(full_name), '/+$', ''), '\\.git$', '', 'i')), '') AS nk,
+                nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(clone_url)), '^[a-z+]+://', ''), '^[^/@]+@', ''), '^www\\.', ''), '^([^/:]+):([0-9]+/)?/*', '\\1/'), '(\\.git)?[/?#]*$', ''), '') AS uk FROM candidates WHERE cand_id IS NOT NULL AND batch_no IS NOT NULL),
+            l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+            m AS (SELECT c.cand_id, e.cand_id AS first_id FROM k c JOIN k e ON c.nk = e.nk AND (e.batch_no, e.cand_id) < (c.batch_no, c.cand_id) WHERE c.batch_no >= 1
+              UNION ALL SELECT c.cand_id, e.cand_id FROM k c JOIN k e ON c.uk = e.uk AND (e.batch_no, e.cand_id) < (c.batch_no, c.cand_id) WHERE c.batch_no >= 1
+              UNION ALL SELECT c.cand_id, e.cand_id FROM k c JOIN l ON l.a = c.repo JOIN k e ON e.repo = l.b AND (e.batch_no, e.cand_id) < (c.batch_no, c.cand_id) WHERE c.batch_no >= 1)
+            SELECT min(first_id) AS first_id, cand_id FROM m GROUP BY cand_id""",
         "p5_found": f"WITH RECURSIVE {GROUPS} SELECT id, group_id FROM gr",
         "p5_assigned": f"WITH RECURSIVE {GROUPS} SELECT repo.id, coalesce(group_id, repo.id) AS group_id, cluster AS old_cluster, count(*) OVER (PARTITION BY coalesce(group_id, repo.id)) AS members FROM repo LEFT JOIN gr ON gr.id = repo.id",
         "p7_found": """WITH k AS (SELECT hash, count(DISTINCT repo) AS n FROM print WHERE hash IS NOT NULL AND repo IS NOT NULL GROUP BY hash)
