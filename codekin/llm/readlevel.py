@@ -4,8 +4,8 @@ A page's running sentences are what is left without headlines, adverts and lists
 size of a frequency-ranked vocabulary of its language that covers a fixed share of its words; together with sentence
 and word lengths this is calibrated against the raters' bands.
 
-Plan: one pass over the pages counts words per language (combined in each task), one pass computes the measures with
-the ranks of the most frequent words at hand (``KNOWN_WORDS`` per language, a fixed bound). Pages whose coverage rank
+Plan: one pass reads the pages and writes their running words; words are counted per language from that table, and the
+coverage ranks are looked up with the most frequent words at hand (``KNOWN_WORDS`` per language, a fixed bound). Pages whose coverage rank
 lies beyond these words are resolved exactly by a join with the whole ranked vocabulary. The calibration is a linear
 discriminant per language, fitted on at most ``MAX_LABELLED`` labelled pages taken in order of a hash of their id, and
 applied as SQL expressions.
@@ -43,13 +43,15 @@ _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _CAPS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _NUMBER = re.compile(r"\d+")
-_END = re.compile(r"(?<![A-ZÀ-Þ])(?<!Mr)(?<!Mrs)(?<!No)(?<!Nr)(?<!St)(?<!\.)[.!?](?!\.)\s")
-MEASURES = ("cover50", "cover75", "cover90", "sentence_words", "sentence_spread", "word_letters", "long_words", "commas", "function_words", "numbers")
+_END = re.compile(r"[.!?](?!\.)(?<!\.\.)(?<![A-ZÀ-Þ]\.)(?<!Mr\.)(?<!Mrs\.)(?<!No\.)(?<!Nr\.)(?<!St\.)\s")
+COVERS = ("cover50", "cover75", "cover90")
+OTHERS = ("sentence_words", "sentence_spread", "word_letters", "long_words", "commas", "function_words", "numbers")
+MEASURES = COVERS + OTHERS
 FEATURE_SCHEMA = "doc_id long, language string, n_words int, " + ", ".join(f"{m} double" for m in MEASURES) + ", unknown boolean"
 
 
-def running_sentences(lines: list[str]) -> list[str]:
-    """Sentences of the running text; an advert runs from a line with a word in capitals to the line that ends its sentence."""
+def running_sentences(lines: list[str]) -> list[tuple[list[str], int, int]]:
+    """(words in lower case, numbers, inner marks) of each running sentence; an advert runs from a line with a word in capitals to the line that ends its sentence."""
     kept, skipping = [], 0
     for line in lines:
         if skipping:
@@ -65,9 +67,12 @@ def running_sentences(lines: list[str]) -> list[str]:
         kept.append(line)
     out = []
     for s in _END.split(joined(kept) + " "):
-        words, numbers = len(_WORD.findall(s)), len(_NUMBER.findall(s))
-        if words >= 2 and numbers <= 0.22 * (words + numbers) and "...." not in s:
-            out.append(s)
+        words = _WORD.findall(s.lower())
+        if len(words) < 2 or "...." in s:
+            continue
+        numbers = len(_NUMBER.findall(s))
+        if numbers <= 0.22 * (len(words) + numbers):
+            out.append((words, numbers, s.count(",") + s.count(";")))
     return out
 
 
@@ -81,106 +86,84 @@ def language_of(words: list[str], given: str | None) -> str:
     return max(score, key=lambda k: (score[k], k))
 
 
-def read_page(text, lang, xs, ys) -> tuple[str, list[list[str]], list[str]] | None:
-    """(language, words by sentence, sentences) of the running text; None without any."""
+def read_page(text, lang, xs, ys) -> tuple[str, list[str], list[float]] | None:
+    """(language, words of the running text, measures but for the coverage ranks); None without running text."""
     sentences = running_sentences(ordered_lines(text, xs, ys))
-    words = [_WORD.findall(s) for s in sentences]
-    flat = [w.lower() for s in words for w in s]
+    flat = [w for s in sentences for w in s[0]]
     if not flat:
         return None
     language = language_of(flat, lang)
-    functional = _FUNCTION[language]
-    if sum(w in functional for w in flat) < 0.05 * len(flat):
+    n = len(flat)
+    functional = sum(map(_FUNCTION[language].__contains__, flat)) / n
+    if functional < 0.05:
         return None
-    return language, [[w.lower() for w in s] for s in words], sentences
+    lengths = [len(s[0]) for s in sentences]
+    letters = list(map(len, flat))
+    rest = [n / len(lengths), (sum(k * k for k in lengths) / len(lengths)) ** 0.5, sum(letters) / n, sum(k >= 9 for k in letters) / n, sum(s[2] for s in sentences) / n, functional, sum(s[1] for s in sentences) / n]
+    return language, flat, rest
 
 
-def measures_of(page, ranks: dict[str, int], shares=SHARES) -> tuple[int, list[float | None], bool]:
-    """(running words, measures, whether a coverage rank lies beyond the known words)."""
-    language, words, sentences = page
-    flat = [w for s in words for w in s]
-    n = len(flat)
+def coverage(words: list[str], ranks: dict[str, int], shares=SHARES) -> tuple[list[float], bool]:
+    """Least rank up to which each share of the words lies, and whether one lies beyond the known words."""
     far = len(ranks) + 1
-    order = sorted(ranks.get(w, far) for w in flat)
-    picked = [order[max(0, -(-int(round(q * n * 1000)) // 1000) - 1)] for q in shares]
-    unknown = any(p >= far for p in picked)
-    lengths = np.array([len(s) for s in words], float)
-    letters = sum(map(len, flat))
-    functional = _FUNCTION[language]
-    rest = [lengths.mean(), float(np.sqrt((lengths**2).mean())), letters / n, sum(len(w) >= 9 for w in flat) / n, sum(s.count(",") + s.count(";") for s in sentences) / n, sum(w in functional for w in flat) / n, sum(len(_NUMBER.findall(s)) for s in sentences) / n]
-    return n, [*map(float, picked), *map(float, rest)], unknown
-
-
-def _rows(batch):
-    return zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "lang", "x", "y")), strict=True)
+    order = sorted([ranks.get(w, far) for w in words])
+    picked = [order[-(-round(q * len(order) * 1000) // 1000) - 1] for q in shares]
+    return list(map(float, picked)), picked[-1] >= far
 
 
 def _pages(pages: DataFrame) -> DataFrame:
     return pages.where("doc_id is not null and text is not null").select("doc_id", "text", "lang", F.col("line_boxes.x").alias("x"), F.col("line_boxes.y").alias("y"))
 
 
-def vocabulary(pages: DataFrame) -> DataFrame:
-    """(language, word, rank) over all running text; ties are ranked in word order."""
+def read_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, language, n_words, words, measures): the running text of each page, its words parted by blanks."""
 
-    def count(batches):
+    def run(batches):
         for b in batches:
-            c: Counter = Counter()
-            for _, text, lang, x, y in _rows(b):
+            out = []
+            for doc, text, lang, x, y in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "lang", "x", "y")), strict=True):
                 page = read_page(text, lang, x, y)
                 if page:
-                    c.update((page[0], w) for s in page[1] for w in s)
-            if c:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c]), pa.array([k[1] for k in c]), pa.array(list(c.values()), pa.int64())], names=["language", "word", "n"])
+                    out.append((doc, page[0], len(page[1]), " ".join(page[1]), *page[2]))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3]), *[pa.array(c, pa.float64()) for c in cols[4:]]], names=["doc_id", "language", "n_words", "words", *OTHERS])
+
+    return _pages(pages).mapInArrow(run, "doc_id long, language string, n_words int, words string, " + ", ".join(f"{m} double" for m in OTHERS))
+
 
-    counts = _pages(pages).mapInArrow(count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
-    # A word's rank is the number of words of higher counts plus its place among equals: counts per frequency first, so no language is sorted in one task.
-    counts = materialise(counts, "words")
+def vocabulary(read: DataFrame) -> DataFrame:
+    """(language, word, rank, n) over all running text; equal counts share the rank behind all higher ones."""
+    counts = materialise(read.select("language", F.explode(F.split("words", " ")).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n")), "words")
+    # The rank comes from the number of words per count, so no language is sorted in one task.
     levels = counts.groupBy("language", "n").agg(F.count("*").alias("k"))
     above = levels.withColumn("above", F.sum("k").over(Window.partitionBy("language").orderBy(F.desc("n"))) - F.col("k")).drop("k")
-    return counts.join(F.broadcast(above), ["language", "n"]).withColumn("rank", F.col("above") + 1).select("language", "word", F.col("rank").cast("long").alias("rank"), "n")
+    return counts.join(above, ["language", "n"]).select("language", "word", (F.col("above") + 1).cast("long").alias("rank"), "n")
 
 
 def page_measures(pages: DataFrame) -> DataFrame:
     """One row of measures per page with running text."""
     spark = pages.sparkSession
-    ranked = materialise(vocabulary(pages), "ranked")
+    read = materialise(read_pages(pages), "read")
+    ranked = materialise(vocabulary(read), "ranked")
     top: dict[str, dict[str, int]] = {k: {} for k in FUNCTION_WORDS}
-    for r in ranked.where(F.col("rank") <= KNOWN_WORDS).withColumn("i", F.row_number().over(Window.partitionBy("language").orderBy("rank", "word"))).where(F.col("i") <= KNOWN_WORDS).select("language", "word", "rank").toLocalIterator():
+    # Ties at the edge are left out as a whole, so every known word has a rank of KNOWN_WORDS at most.
+    for r in ranked.groupBy("language", "rank").agg(F.count("*").alias("k")).where(F.col("rank") + F.col("k") - 1 <= KNOWN_WORDS).select("language", "rank").join(ranked, ["language", "rank"]).select("language", "word", "rank").toLocalIterator():
         top[r.language][r.word] = r["rank"]
     shared = spark.sparkContext.broadcast(top)
 
-    def measure(batches):
+    def run(batches):
         for b in batches:
-            out = []
-            for doc, text, lang, x, y in _rows(b):
-                page = read_page(text, lang, x, y)
-                if page:
-                    n, values, unknown = measures_of(page, shared.value[page[0]])
-                    out.append((doc, page[0], n, *values, unknown))
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int32()), *[pa.array(c, pa.float64()) for c in cols[3:-1]], pa.array(cols[-1], pa.bool_())], names=["doc_id", "language", "n_words", *MEASURES, "unknown"])
-
-    measures = materialise(_pages(pages).mapInArrow(measure, FEATURE_SCHEMA), "measures")
-
-    def spell(batches):
-        for b in batches:
-            ids, langs, words, ns = [], [], [], []
-            for doc, text, lang, x, y in _rows(b):
-                page = read_page(text, lang, x, y)
-                if page:
-                    for w, n in Counter(w for s in page[1] for w in s).items():
-                        ids.append(doc), langs.append(page[0]), words.append(w), ns.append(n)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs), pa.array(words), pa.array(ns, pa.int64())], names=["doc_id", "language", "word", "n"])
+            found = [coverage(w.split(" "), shared.value[k]) for k, w in zip(b.column("language").to_pylist(), b.column("words").to_pylist(), strict=True)]
+            covers = list(zip(*[f[0] for f in found], strict=True)) or [[] for _ in COVERS]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in ("doc_id", "language", "n_words")], *[pa.array(c, pa.float64()) for c in covers], *[b.column(m) for m in OTHERS], pa.array([f[1] for f in found], pa.bool_())], names=["doc_id", "language", "n_words", *MEASURES, "unknown"])
 
-    open_pages = measures.where("unknown").select("doc_id")
-    spelled = _pages(pages).join(open_pages, "doc_id", "left_semi").mapInArrow(spell, "doc_id long, language string, word string, n long")
+    measures = materialise(read.mapInArrow(run, FEATURE_SCHEMA), "measures")
+    spelled = read.join(measures.where("unknown").select("doc_id"), "doc_id", "left_semi").select("doc_id", "language", F.explode(F.split("words", " ")).alias("word")).groupBy("doc_id", "language", "word").agg(F.count("*").alias("n"))
     by_page = Window.partitionBy("doc_id")
     upto = spelled.join(ranked.select("language", "word", "rank"), ["language", "word"]).withColumn("upto", F.sum("n").over(by_page.orderBy("rank", "word"))).withColumn("total", F.sum("n").over(by_page))
-    exact = upto.groupBy("doc_id").agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.round(F.col("total") * q, 3)), F.col("rank"))).cast("double").alias(f"x{m}") for m, q in zip(MEASURES, SHARES, strict=False)])
-    covers = MEASURES[: len(SHARES)]
-    return measures.join(exact, "doc_id", "left").select("doc_id", "language", "n_words", *[F.coalesce(f"x{m}", m).alias(m) for m in covers], *MEASURES[len(SHARES) :])
+    exact = upto.groupBy("doc_id").agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.round(F.col("total") * q, 3)), F.col("rank"))).cast("double").alias(f"x{m}") for m, q in zip(COVERS, SHARES, strict=True)])
+    return measures.join(exact, "doc_id", "left").select("doc_id", "language", "n_words", *[F.coalesce(f"x{m}", m).alias(m) for m in COVERS], *OTHERS)
 
 
 def _scaled(values: np.ndarray) -> np.ndarray:
