@@ -67,8 +67,9 @@ def key_quantiles(df: DataFrame, key: str, value: str, quantiles: list[float], b
     state = materialise(state, "ranks")
     while shift > 0:
         shift -= bits
-        width = 1 << (shift + bits)
-        inside = counts.join(state, "key").where((F.col("x") >= F.col("low")) & (F.col("x") - F.col("low") < F.lit(width)))
+        inside = counts.join(state, "key").where(F.col("x") >= F.col("low"))
+        if shift + bits < 63:
+            inside = inside.where(F.col("x") - F.col("low") < F.lit(1 << (shift + bits)))
         hist = inside.groupBy("key", "q", "low", "rank", F.shiftright(F.col("x") - F.col("low"), shift).alias("bucket")).agg(F.sum("n").alias("n"))
         w = Window.partitionBy("key", "q").orderBy("bucket")
         upto = hist.withColumn("upto", F.sum("n").over(w))

@@ -153,7 +153,7 @@ def _typed(parts: list[str]) -> str:
 
 
 def _joined(parts: list[str]) -> str:
-    return re.sub(r"\s*(::|[&*<>,])\s*", r"\1", " ".join(parts))
+    return re.sub(r"\s*(::|[<>,])\s*", r"\1", " ".join(parts))
 
 
 def _split(parts: list[str]) -> list[list[str]]:

@@ -24,5 +24,5 @@ def source_files(spark: SparkSession, root: str, suffixes: list[str] | None = No
     below = F.substring_index("path", root.rstrip("/") + "/", -1)
     placed = files.withColumn("below", below).withColumns({"repo": F.substring_index("below", "/", 1), "relpath": F.expr("substr(below, instr(below, '/') + 1)")})
     wanted = placed.where(selected(F.col("relpath"), suffixes, languages, list(excluded)))
-    text = F.replace(F.call_function("make_valid_utf8", F.call_function("decode", F.col("content"), F.lit("UTF-8"))), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     return wanted.select("repo", "relpath", language_of(F.col("relpath")).alias("lang"), text.alias("text"))
