@@ -38,7 +38,7 @@ def representatives(sizes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, cluster, members, representative) of repositories with a clean set. sizes: (repo, n)."""
     c = components(sizes.select(F.col("repo").alias("id")), edges).withColumnRenamed("id", "repo").join(sizes, "repo")
     # One aggregate per cluster instead of a sort: the largest set, then the lowest id.
-    best = c.groupBy("cluster").agg(F.max(F.struct("n", (-F.col("repo")).alias("r"))).alias("best"), F.count("*").alias("members")).select("cluster", "members", (-F.col("best.r")).alias("keep"))
+    best = c.groupBy("cluster").agg(F.min_by("repo", F.struct((-F.col("n")).alias("n"), "repo")).alias("keep"), F.count("*").alias("members"))
     return c.join(best, "cluster").select("repo", "cluster", "members", (F.col("repo") == F.col("keep")).cast("int").alias("representative"))
 
 

@@ -1,4 +1,7 @@
-"""Source trees on shared storage: listing first, contents only of wanted files."""
+"""Source trees on shared storage: listing first, contents only of wanted files.
+
+Spark's readers never list names that begin with a dot or an underscore.
+"""
 
 from __future__ import annotations
 

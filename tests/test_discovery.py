@@ -128,7 +128,7 @@ def test_files_specs_search_and_manifest(spark, tmp_path):
     got = files.source_files(spark, f"file:{root}", [".cpp"]).collect()
     assert [(r.repo, r.relpath, r.lang, r.text) for r in got] == [("r1", "src/a.cpp", "cpp", "int  x;")]
     assert files.source_files(spark, f"file:{root}", languages=["dockerfile"]).first().repo == "r2"
-    assert files.listing(spark, f"file:{root}").count() == 4
+    assert files.listing(spark, f"file:{root}").count() == 3  # hidden directories aren't listed
 
     (tmp_path / "s.json").write_text(json.dumps({"name": "p", "compare": {"k_high": 20, "winnow_window": 6}, "verification": {"min_source_files": 2, "required_tokens": {"tokens": ["A"], "threshold": 1, "weight": 4}}, "subproject": {"path_patterns": ["x"], "required_stems": ["A"]}}))
     s = specs.load(str(tmp_path / "s.json"))
