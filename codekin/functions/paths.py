@@ -34,13 +34,15 @@ def any_suffix(text: Column, suffixes: list[str]) -> Column:
 
 def language_of(path: Column) -> Column:
     """Language by file name; null where a file holds nothing comparable."""
-    base = F.lower(base_name(path))
-    out = F.when(F.lit(False), F.lit(""))
+    base = F.lower(F.regexp_extract(path, "[^/]*$", 0))
+    last = F.lower(F.regexp_extract(path, r"\.[^./]*$", 0))
+    out = None
     for lang in dict.fromkeys(NAMES.values()):
-        out = out.when(base.isin([k for k, v in NAMES.items() if v == lang]), lang)
-    out = out.when(base.startswith("dockerfile") | base.endswith(".dockerfile"), "dockerfile").when(base.startswith("makefile"), "make")
+        named = base.isin([k for k, v in NAMES.items() if v == lang])
+        out = F.when(named, lang) if out is None else out.when(named, lang)
+    out = out.when(base.rlike(r"^dockerfile|\.dockerfile$"), "dockerfile").when(base.startswith("makefile"), "make")
     for lang, suffixes in SUFFIXES.items():
-        out = out.when(any_suffix(base, suffixes), lang)
+        out = out.when(last.isin(suffixes), lang)
     return out
 
 

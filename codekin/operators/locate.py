@@ -31,21 +31,21 @@ class Module:
 
 def candidate_dirs(listing: DataFrame, patterns: list[str]) -> DataFrame:
     """(repo, root, path): the directory that ends with the first pattern's match. listing: (repo, path)."""
-    p = normal_path(F.col("path"))
+    up = F.regexp_replace("path", "/?[^/]*$", "")
     root = None
     for pattern in patterns:
-        found = F.regexp_substr("path", F.lit(pattern))
-        end = F.regexp_instr("path", F.lit(pattern)) + F.length(found) - 1
-        slash = F.call_function("locate", F.lit("/"), F.col("path"), F.greatest(end, F.lit(1)))
-        up = F.regexp_replace("path", "/?[^/]*$", "")
-        one = F.when(found.isNotNull(), F.when(slash > 0, F.substring(F.col("path"), F.lit(1), slash - 1)).otherwise(up))
+        # Up to the first slash at or behind the end of the first match.
+        reached = F.regexp_extract("path", rf"^.*?(?:{pattern})(?:(?<=/)|[^/]*/)", 0)
+        one = F.when(F.col("path").rlike(pattern), F.when(reached != "", F.regexp_replace(reached, "/$", "")).otherwise(up))
         root = one if root is None else F.coalesce(root, one)
-    return listing.where("path is not null").select("repo", p.alias("path")).select("repo", root.alias("root"), "path").where("root is not null")
+    paths = listing.where("path is not null").select("repo", normal_path(F.col("path")).alias("path"))
+    return paths.select("repo", F.explode(F.array(F.struct(root.alias("root"), "path"))).alias("d")).select("repo", "d.root", "d.path").where("root is not null")
 
 
 def score_dirs(files: DataFrame, module: Module) -> DataFrame:
     """(repo, root, hits, supporting, sources, score) of each directory (repo, root, path); 0 where it doesn't qualify."""
-    stem = stem_of(F.col("path"))
+    files = files.select("repo", "root", "path", stem_of(F.col("path")).alias("stem"))
+    stem = F.col("stem")
     count = lambda names: F.coalesce(sum((F.max(F.coalesce(stem == n, F.lit(False)).cast("int")) for n in names[1:]), F.max(F.coalesce(stem == names[0], F.lit(False)).cast("int"))), F.lit(0)) if names else F.lit(0)
     need = module.threshold if module.threshold is not None else max(1, len(module.required) // 2)
     s = files.groupBy("repo", "root").agg(count(module.required).alias("hits"), count(module.optional).alias("supporting"), count(module.forbidden).alias("foreign"), F.count_if(any_suffix(F.col("path"), module.suffixes)).alias("sources"))

@@ -222,7 +222,7 @@ def type_signatures(sources: DataFrame, min_weight: int = MIN_WEIGHT) -> DataFra
 
 
 def _files(sources: DataFrame) -> DataFrame:
-    return sources.where("repo is not null and relpath is not null and text is not null").groupBy("repo", F.col("relpath").alias("file")).agg(F.max("text").alias("text"))
+    return sources.where("repo is not null and relpath is not null and text is not null").groupBy(F.col("repo").cast("string").alias("repo"), F.col("relpath").alias("file")).agg(F.max("text").alias("text"))
 
 
 def by_hash(functions: DataFrame) -> DataFrame:

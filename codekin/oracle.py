@@ -170,10 +170,10 @@ def sql() -> dict[str, str]:
             SELECT repo, file, start_line AS start, end_line AS "end", line, text, line BETWEEN start_line AND end_line AS marked FROM rn WHERE line BETWEEN start_line - 3 AND end_line + 3""",
         "run_null_stats": f"""WITH {NAMED_TOKENS}, {_grams(12)}, ln AS (SELECT repo, count(*) AS n FROM st GROUP BY repo HAVING count(*) > 100),
             sm AS (SELECT repo FROM ln ORDER BY md5('42|' || repo), repo LIMIT 90),
-            sp AS (SELECT x.repo AS a, y.repo AS b FROM sm x, sm y WHERE x.repo < y.repo ORDER BY md5('42|' || x.repo || '|' || y.repo), 1, 2 LIMIT 400),
-            se AS (SELECT a, b, x.pos AS i, y.pos AS j FROM sp JOIN g x ON x.repo = a JOIN g y ON y.repo = b AND y.hash = x.hash),
+            pq AS (SELECT x.repo AS a, y.repo AS b FROM sm x, sm y WHERE x.repo < y.repo ORDER BY md5('42|' || x.repo || '|' || y.repo), 1, 2 LIMIT 400),
+            se AS (SELECT a, b, x.pos AS i, y.pos AS j FROM pq JOIN g x ON x.repo = a JOIN g y ON y.repo = b AND y.hash = x.hash),
             ru AS (SELECT a, b, count(*) + 11 AS tokens FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS isl FROM se) q GROUP BY a, b, i - j, isl),
-            lo AS (SELECT sp.a, sp.b, coalesce(max(tokens), 0) AS longest FROM sp LEFT JOIN ru ON ru.a = sp.a AND ru.b = sp.b GROUP BY sp.a, sp.b),
+            lo AS (SELECT pq.a, pq.b, coalesce(max(tokens), 0) AS longest FROM pq LEFT JOIN ru ON ru.a = pq.a AND ru.b = pq.b GROUP BY pq.a, pq.b),
             lr AS (SELECT longest, row_number() OVER (ORDER BY longest) - 1 AS i, count(*) OVER () AS n FROM lo),
             ou AS (SELECT count(*) AS pairs, CAST(max(longest) AS DOUBLE) AS max, {_pick('lr', 'longest', '0.5')} AS median, {_pick('lr', 'longest', '0.95')} AS p95, {_pick('lr', 'longest', '0.99')} AS p99, {_pick('lr', 'longest', '(SELECT 1 - CAST(1 AS DOUBLE) / greatest(count(*), 2) FROM repo)')} AS expected_top FROM lo)
             SELECT *, CAST(least(greatest(floor(expected_top * CAST(1.2 AS DOUBLE)), 250), greatest(floor(p99 * 2), 400)) AS BIGINT) AS threshold FROM ou""",

@@ -206,8 +206,10 @@ def check_evidence_gate(spark: SparkSession, d: str) -> DataFrame:
 # ---- runs and evidence
 
 
-def _named(spark: SparkSession, d: str) -> DataFrame:
+def _named(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
     ids = table(spark, d, "repo").select("id", "name")
+    if pairs is not None:
+        ids = ids.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
     s = table(spark, d, "source_files")
     return s.join(ids, s["repo"] == ids["name"]).select(F.col("id").alias("repo"), "relpath", "text")
 
@@ -218,7 +220,7 @@ def _close_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = materialise(_close_pairs(spark, d), "close")
-    s = _named(spark, d)
+    s = _named(spark, d, pairs)
     return pairs, materialise(runs.maximal_runs(pairs, prints.kgrams(s, runs.K)), "runs"), s
 
 
@@ -247,7 +249,7 @@ def run_null_stats(spark: SparkSession, d: str) -> DataFrame:
     s = _named(spark, d)
     lengths = prints.offsets(prints.file_tokens(s)).groupBy("repo").agg(F.max("total").alias("n")).where("n > 100")
     pairs = materialise(calibrate.sampled_pairs(lengths, 42, 90, 400), "sample")
-    longest = materialise(runs.longest_runs(pairs, runs.maximal_runs(pairs, prints.kgrams(s, runs.K), runs.K)), "longest")
+    longest = materialise(runs.longest_runs(pairs, runs.maximal_runs(pairs, prints.kgrams(_named(spark, d, pairs), runs.K), runs.K)), "longest")
     return calibrate.run_null_stats(longest, table(spark, d, "repo").count())
 
 
