@@ -58,11 +58,16 @@ def key_quantiles(df: DataFrame, key: str, value: str, quantiles: list[float], b
     """
     counts = materialise(df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(value).cast("long").alias("x")).agg(F.count("*").alias("n")), "values")
     qs = F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))
-    ranges = counts.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("n"))
+    ranges = materialise(counts.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("n")), "ranges")
+    # Most keys have one value only; they are done, and their counts needn't be read again.
+    plain = ranges.where("low = high").select("key", qs.alias("q"), F.col("low").alias("v"))
+    ranges = ranges.where("low < high")
+    counts = counts.join(ranges.select("key"), "key", "left_semi")
     span = ranges.agg(F.max(F.col("high") - F.col("low"))).first()[0]
     state = ranges.select("key", F.col("low"), F.col("n"), qs.alias("q")).withColumn("rank", F.least(F.floor(F.col("q") * F.col("n")), F.col("n") - 1)).drop("n")
     if span is None:
-        return state.select("key", "q", F.col("low").alias("v"))
+        return plain
+    counts = materialise(counts, "values")
     shift = max(0, -(-max(int(span).bit_length(), 1) // bits) * bits)
     state = materialise(state, "ranks")
     while shift > 0:
@@ -77,4 +82,4 @@ def key_quantiles(df: DataFrame, key: str, value: str, quantiles: list[float], b
             upto.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))).select("key", "q", (F.col("low") + F.shiftleft("bucket", shift)).alias("low"), (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank")),
             "ranks",
         )
-    return state.select("key", "q", F.col("low").alias("v"))
+    return plain.unionByName(state.select("key", "q", F.col("low").alias("v")))
