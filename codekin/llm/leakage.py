@@ -239,10 +239,10 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
-def leaks(pages: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, slack: int = 1) -> DataFrame:
+def leaks(pages: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, slack: int = 0) -> DataFrame:
     """(item_id, doc_id, words): pages carrying ``min_words`` consecutive words of an item's passage, or all of it.
 
-    ``slack`` words at the ends of a passage may be lost to misreading.
+    ``slack`` words of them may be lost at the ends; pages that share stock phrases with an item reach 14 by chance.
     """
     spark = pages.sparkSession
     schema = "item_id long, doc_id long, words int"
