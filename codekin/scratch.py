@@ -1,8 +1,8 @@
 """Intermediate tables in storage that every executor can read.
 
 A materialised table cuts the lineage: if an executor is lost later, the rows are read again instead of being computed
-again from the start. The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-temporary folder is made and set as the session's checkpoint folder.
+again from the start. The folder comes from ``spark.checkpoint.dir``. Where that is unset, a local session
+(tests, a laptop) gets a temporary folder; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="codekin-")
         spark.sparkContext.setCheckpointDir(base)
