@@ -115,9 +115,9 @@ def test_pipeline_checks_and_report(spark, tmp_path):
     first = {r.repo: (r.containment, r.verdict) for r in top.collect()}
     assert first["u3/p"] == (1.0, "HIGH") and first["copy/p"] == (1.0, "SELF")
     assert "u3/p" in page("<mine>", top) and "&lt;mine&gt;" in page("<mine>", top)
-    regions = spark.createDataFrame([("u0/p", "a.cpp", 2, 3), ("u0/p", "a.cpp", 20, 99)], "repo string, file string, start int, end int")
+    regions = spark.createDataFrame([("u0/p", "a.cpp", 2, 3), ("u0/p", "a.cpp", 12, 99), ("u0/p", "a.cpp", 50, 60)], "repo string, file string, start int, end int")
     got = snippets(regions, src, 1).collect()
-    assert sorted((r.start, r.line, r.marked) for r in got) == [(2, 1, False), (2, 2, True), (2, 3, True), (2, 4, False), (20, 19, False), (20, 20, True)]
+    assert sorted((r.start, r.line, r.marked) for r in got) == [(2, 1, False), (2, 2, True), (2, 3, True), (2, 4, False), (12, 11, False), (12, 12, True)]
 
 
 def test_files_specs_search_and_manifest(spark, tmp_path):
