@@ -7,9 +7,10 @@
    ``min_repos`` repositories of different owners is a library; its hashes make up the library vocabulary. Files of
    which at least half the hashes are in that vocabulary are copies, changed and cut ones too. Students' copies stay
    below ``min_repos``.
-2. Idioms: hashes found in a quarter of all repositories and the listed boilerplate are what hand-written code of this
-   collection looks like. Tool, squeezed and library code has none of them, so a mark in the head or in the path counts
-   only for files without idioms.
+2. Idioms: hashes that a quarter of all repositories have outside copies and library places, and the listed boilerplate,
+   are what hand-written code of this collection looks like; only they leave the library vocabulary, so a library stays
+   whole however many repositories hold it. Tool, squeezed and library code has no idioms, so a mark in the head or in
+   the path counts only for files without them.
 3. Data: files that repeat few hashes over and over (literals only), or whose head is literals.
 4. A repository directory that itself leads into a library's place makes all its files copies.
 
@@ -71,12 +72,13 @@ def file_heads(sources: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
-def idioms(prints: DataFrame, boiler: DataFrame, n_repos: int) -> DataFrame:
-    """Hashes in a quarter of the repositories, and the listed ones that several repositories have. At most rows/(n_repos/4) keys come near."""
+def idioms(prints: DataFrame, files: DataFrame, foreign: DataFrame, boiler: DataFrame, n_repos: int) -> DataFrame:
+    """Hashes that a quarter of the repositories have in files outside ``foreign`` (repo, file), and the listed ones. At most rows/(n_repos/4) keys come near."""
     rows = prints.where("hash is not null").count()
     share = max(1e-12, min(1.0, IDIOM_SHARE * n_repos / max(rows, 1)))
     near = heavy_keys(prints, "hash", share).select(F.col("key").alias("hash"))
-    often = prints.join(F.broadcast(near), "hash", "left_semi").groupBy("hash").agg(F.countDistinct("repo").alias("n")).where(F.col("n") >= IDIOM_SHARE * n_repos).select("hash")
+    own = files.join(F.broadcast(near), "hash", "left_semi").join(foreign, ["repo", "file"], "left_anti").select("hash", "repo").distinct()
+    often = own.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= IDIOM_SHARE * n_repos).select("hash")
     return often.unionByName(boiler.select("hash").where("hash is not null")).distinct()
 
 
@@ -104,23 +106,26 @@ def not_handwritten(prints: DataFrame, sources: DataFrame, repos: DataFrame, boi
     rows = prints.where("hash is not null and repo is not null and file is not null").select(F.col("repo").cast("long").alias("repo"), "file", F.col("hash").cast("long").alias("hash"))
     known = repos.where("id is not null")
     n_repos = known.select("id").distinct().count()
-    common = materialise(idioms(rows, boiler, n_repos), "idioms")
     files = materialise(rows.select("repo", "file", "hash").distinct(), "files")
     # The signatures are combined where the rows are read: a file's rows stand together there, while its distinct hashes are spread.
     mins = [F.min(F.xxhash64("hash", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     keys = [F.xxhash64(*[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"k{b}") for b in range(BANDS)]
     banded = rows.groupBy("repo", "file").agg(F.count("*").alias("n"), *mins).select("repo", "file", "n", *keys)
-    flagged = files.join(F.broadcast(common.withColumn("idiom", F.lit(1))), "hash", "left")
-    counted = flagged.groupBy("repo", "file").agg(F.count("*").alias("nd"), F.coalesce(F.sum("idiom"), F.lit(0)).alias("n_idioms"))
+    counted = files.groupBy("repo", "file").agg(F.count("*").alias("nd"))
     signatures = materialise(banded.join(counted, ["repo", "file"]), "signatures")
-    library = library_hashes(files, signatures, known, min_repos).join(common, "hash", "left_anti")
-    copied = files.join(library, "hash", "left_semi").groupBy("repo", "file").agg(F.count("*").alias("n_library"))
+    owned = materialise(files.join(library_hashes(files, signatures, known, min_repos), "hash", "left_semi"), "owned")
 
     below = F.regexp_extract(_slashed(F.col("dir")), r"^[^/]*/(.*)$", 1)
     places = known.groupBy(F.col("id").alias("repo")).agg(F.max(below.rlike(LIBRARY_PLACES)).alias("in_library"))
     heads = file_heads(sources, known)
     path = _slashed(F.col("file"))
     no = F.lit(False)
+    # A library in very many repositories would pass for idioms, so copies and library places have no say in them.
+    shares = signatures.select("repo", "file", "nd").join(owned.groupBy("repo", "file").agg(F.count("*").alias("n_owned")), ["repo", "file"], "left").join(places, "repo", "left")
+    foreign = shares.where((F.col("n_owned") >= COPIED_SHARE * F.col("nd")) | F.coalesce("in_library", no) | path.rlike(LIBRARY_PLACES)).select("repo", "file")
+    common = materialise(idioms(rows, files, foreign, boiler, n_repos), "idioms")
+    idiomatic = files.join(F.broadcast(common), "hash", "left_semi").groupBy("repo", "file").agg(F.count("*").alias("n_idioms"))
+    copied = owned.join(F.broadcast(common), "hash", "left_anti").groupBy("repo", "file").agg(F.count("*").alias("n_library"))
     bare = F.col("n_idioms") == 0
     kind = (
         F.when((F.col("n") >= 8) & (F.col("nd") <= REPEATED * F.col("n")) | F.coalesce("data_head", no) & bare, "data")
@@ -129,9 +134,10 @@ def not_handwritten(prints: DataFrame, sources: DataFrame, repos: DataFrame, boi
         .when(bare & (F.coalesce("tool_head", no) | path.rlike(TOOL_PLACES) | path.rlike(TOOL_NAMES)), "generated")
     )
     return (
-        signatures.select("repo", "file", "n", "nd", "n_idioms")
+        signatures.select("repo", "file", "n", "nd")
+        .join(idiomatic, ["repo", "file"], "left")
         .join(copied, ["repo", "file"], "left")
-        .withColumn("n_library", F.coalesce("n_library", F.lit(0)))
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_idioms", "n_library")})
         .join(places, "repo", "left")
         .join(heads, ["repo", "file"], "left")
         .select("repo", "file", kind.alias("kind"))

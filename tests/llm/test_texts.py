@@ -181,6 +181,31 @@ def test_handwritten(spark):
     assert handwritten.not_handwritten(prints.limit(0), src.limit(0), rep.limit(0), boiler).count() == 0
 
 
+def own_files(rng, n, idioms):
+    """Rows and repositories of n authors with one file of their own each."""
+    rows = [(h, r, "own.cpp", p) for r in range(1, n + 1) for p, h in enumerate([rng.randint(10**6, 10**12) for _ in range(20)] + idioms)]
+    return rows, [(r, f"o{r}/p", f"o{r}~p", f"o{r}") for r in range(1, n + 1)]
+
+
+def found_files(spark, rows, repos, boiler=(), sources=()):
+    prints = spark.createDataFrame([(*r, None) if len(r) == 4 else r for r in rows], "hash long, repo long, file string, pos int, line int")
+    src = spark.createDataFrame(list(sources), "repo string, relpath string, text string")
+    rep = spark.createDataFrame(repos, "id long, name string, dir string, owner string")
+    got = handwritten.not_handwritten(prints, src, rep, spark.createDataFrame([(h,) for h in boiler], "hash long"))
+    return {(r.repo, r.file): r.kind for r in got.collect()}
+
+
+def test_library_in_most_repositories(spark):
+    rng = random.Random(6)
+    rows, repos = own_files(rng, 30, [1, 2, 3])
+    library = list(range(100, 140))
+    rows += [(h, r, "util.h", p) for r in range(1, 15) for p, h in enumerate(library + [1])]
+    rows += [(h, r, "cut.h", p) for r in range(15, 25) for p, h in enumerate(library[:25] + [rng.randint(10**6, 10**12) for _ in range(15)])]
+    rows += [(h, 25, "vendor/part.h", p) for p, h in enumerate(library[:4] + [rng.randint(10**6, 10**12) for _ in range(20)])]
+    want = {(r, "util.h"): "copied" for r in range(1, 15)} | {(r, "cut.h"): "copied" for r in range(15, 25)}
+    assert found_files(spark, rows, repos) == want | {(25, "vendor/part.h"): "copied"}
+
+
 def test_found_queries_run_on_clashing_columns(spark):
     df = spark.createDataFrame([page(1, ITEM)], PAGE).withColumn("words", F.lit(1)).withColumn("x", F.lit(2))
     items = spark.createDataFrame([(1, ITEM, 3)], "item_id long, text string, doc_id int")
