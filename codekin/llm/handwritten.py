@@ -7,10 +7,11 @@
    ``min_repos`` repositories of different owners is a library; its hashes make up the library vocabulary. Files of
    which at least half the hashes are in that vocabulary are copies, changed and cut ones too. Students' copies stay
    below ``min_repos``.
-2. Idioms: hashes that a quarter of all repositories have outside copies and library places, and the listed boilerplate,
-   are what hand-written code of this collection looks like; only they leave the library vocabulary, so a library stays
-   whole however many repositories hold it. Tool, squeezed and library code has no idioms, so a mark in the head or in
-   the path counts only for files without them.
+2. Idioms: hashes that a quarter of all repositories have outside copies and library places are what hand-written code
+   of this collection looks like; for listed boilerplate a fiftieth is enough, as the list has outdated entries that
+   hardly any repository has. Only idioms leave the library vocabulary, so a library stays whole however many
+   repositories hold it. Tool, squeezed and library code has no idioms, so a mark in the head or in the path counts only
+   for files without them.
 3. Data: files that repeat few hashes over and over (literals only), or whose head is literals.
 4. A repository directory that itself leads into a library's place makes all its files copies.
 
@@ -35,6 +36,7 @@ SIMILAR = 0.8
 MIN_REPOS = 5
 COPIED_SHARE = 0.5
 IDIOM_SHARE = 0.25
+LISTED_SHARE = 0.02
 REPEATED = 0.6
 
 # Places that hold what others or tools have made, and the marks they leave; whole path segments only.
@@ -72,14 +74,15 @@ def file_heads(sources: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
-def idioms(prints: DataFrame, files: DataFrame, foreign: DataFrame, boiler: DataFrame, n_repos: int) -> DataFrame:
-    """Hashes that a quarter of the repositories have in files outside ``foreign`` (repo, file), and the listed ones. At most rows/(n_repos/4) keys come near."""
+def idioms(prints: DataFrame, files: DataFrame, foreign: DataFrame, boiler: DataFrame, n_repos: int, min_repos: int) -> DataFrame:
+    """Hashes that enough repositories have in files outside ``foreign`` (repo, file): a quarter of all, or LISTED_SHARE and ``min_repos`` for listed ones. At most rows/(n_repos/4) keys and the list come near."""
     rows = prints.where("hash is not null").count()
     share = max(1e-12, min(1.0, IDIOM_SHARE * n_repos / max(rows, 1)))
-    near = heavy_keys(prints, "hash", share).select(F.col("key").alias("hash"))
-    own = files.join(F.broadcast(near), "hash", "left_semi").join(foreign, ["repo", "file"], "left_anti").select("hash", "repo").distinct()
-    often = own.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= IDIOM_SHARE * n_repos).select("hash")
-    return often.unionByName(boiler.select("hash").where("hash is not null")).distinct()
+    listed = boiler.select(F.col("hash").cast("long").alias("hash"), F.lit(max(LISTED_SHARE * n_repos, float(min_repos))).alias("least"))
+    near = heavy_keys(prints, "hash", share).select(F.col("key").alias("hash"), F.lit(IDIOM_SHARE * n_repos).alias("least"))
+    near = near.unionByName(listed).where("hash is not null").groupBy("hash").agg(F.min("least").alias("least"))
+    own = files.join(F.broadcast(near), "hash").join(foreign, ["repo", "file"], "left_anti").select("hash", "least", "repo").distinct()
+    return own.groupBy("hash", "least").agg(F.count("*").alias("n")).where("n >= least").select("hash")
 
 
 def library_hashes(files: DataFrame, signatures: DataFrame, repos: DataFrame, min_repos: int) -> DataFrame:
@@ -123,7 +126,7 @@ def not_handwritten(prints: DataFrame, sources: DataFrame, repos: DataFrame, boi
     # A library in very many repositories would pass for idioms, so copies and library places have no say in them.
     shares = signatures.select("repo", "file", "nd").join(owned.groupBy("repo", "file").agg(F.count("*").alias("n_owned")), ["repo", "file"], "left").join(places, "repo", "left")
     foreign = shares.where((F.col("n_owned") >= COPIED_SHARE * F.col("nd")) | F.coalesce("in_library", no) | path.rlike(LIBRARY_PLACES)).select("repo", "file")
-    common = materialise(idioms(rows, files, foreign, boiler, n_repos), "idioms")
+    common = materialise(idioms(rows, files, foreign, boiler, n_repos, min_repos), "idioms")
     idiomatic = files.join(F.broadcast(common), "hash", "left_semi").groupBy("repo", "file").agg(F.count("*").alias("n_idioms"))
     copied = owned.join(F.broadcast(common), "hash", "left_anti").groupBy("repo", "file").agg(F.count("*").alias("n_library"))
     bare = F.col("n_idioms") == 0

@@ -206,6 +206,16 @@ def test_library_in_most_repositories(spark):
     assert found_files(spark, rows, repos) == want | {(25, "vendor/part.h"): "copied"}
 
 
+def test_outdated_boilerplate_is_no_idiom(spark):
+    rng = random.Random(7)
+    rows, repos = own_files(rng, 30, [1, 2, 3])
+    rows += [(h, 8, "lex.yy.cc", p) for p, h in enumerate([rng.randint(10**6, 10**12) for _ in range(20)] + [77])]
+    rows += [(77, r, "old.cpp", 1) for r in (9, 10)]
+    rows += [(78, r, "listed.cpp", 1) for r in range(1, 6)]  # below the idioms' share, but listed and in use
+    rows += [(h, 11, "ui_own.cpp", p) for p, h in enumerate([rng.randint(10**6, 10**12) for _ in range(20)] + [78])]
+    assert found_files(spark, rows, repos, boiler=[1, 77, 78, 79]) == {(8, "lex.yy.cc"): "generated"}
+
+
 def test_found_queries_run_on_clashing_columns(spark):
     df = spark.createDataFrame([page(1, ITEM)], PAGE).withColumn("words", F.lit(1)).withColumn("x", F.lit(2))
     items = spark.createDataFrame([(1, ITEM, 3)], "item_id long, text string, doc_id int")
