@@ -12,7 +12,8 @@
    hardly any repository has. Only idioms leave the library vocabulary, so a library stays whole however many
    repositories hold it. Tool, squeezed and library code has no idioms, so a mark in the head or in the path counts only
    for files without them.
-3. Data: files that repeat few hashes over and over (literals only), or whose head is literals.
+3. Data: files that repeat few hashes over and over (literals only; a row of print that stands twice is no repetition), or
+   whose head is literals.
 4. A repository directory that itself leads into a library's place makes all its files copies.
 
 Families inside a repository, the named method's sign of generation, don't tell tool output apart in these data; marks
@@ -106,16 +107,19 @@ def library_hashes(files: DataFrame, signatures: DataFrame, repos: DataFrame, mi
 
 def not_handwritten(prints: DataFrame, sources: DataFrame, repos: DataFrame, boiler: DataFrame, min_repos: int = MIN_REPOS) -> DataFrame:
     """(repo, file, kind): kind is 'data', 'copied', 'squeezed' or 'generated', the first that holds."""
-    rows = prints.where("hash is not null and repo is not null and file is not null").select(F.col("repo").cast("long").alias("repo"), "file", F.col("hash").cast("long").alias("hash"))
+    rows = prints.where("hash is not null and repo is not null and file is not null").select(F.col("repo").cast("long").alias("repo"), "file", F.col("hash").cast("long").alias("hash"), *[c for c in ("line", "pos") if c in prints.columns])
     known = repos.where("id is not null")
     n_repos = known.select("id").distinct().count()
-    files = materialise(rows.select("repo", "file", "hash").distinct(), "files")
+    # Repeated rows count once. Rows are spread by file, so that they become distinct, and are counted per hash, in one shuffle.
+    once = rows.repartition("repo", "file").distinct()
+    files = materialise(once.groupBy("repo", "file", "hash").agg(F.count("*").alias("k")), "files")
     # The signatures are combined where the rows are read: a file's rows stand together there, while its distinct hashes are spread.
     mins = [F.min(F.xxhash64("hash", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     keys = [F.xxhash64(*[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"k{b}") for b in range(BANDS)]
-    banded = rows.groupBy("repo", "file").agg(F.count("*").alias("n"), *mins).select("repo", "file", "n", *keys)
-    counted = files.groupBy("repo", "file").agg(F.count("*").alias("nd"))
+    banded = rows.groupBy("repo", "file").agg(*mins).select("repo", "file", *keys)
+    counted = files.groupBy("repo", "file").agg(F.sum("k").alias("n"), F.count("*").alias("nd"))
     signatures = materialise(banded.join(counted, ["repo", "file"]), "signatures")
+    files = files.select("repo", "file", "hash")
     owned = materialise(files.join(library_hashes(files, signatures, known, min_repos), "hash", "left_semi"), "owned")
 
     below = F.regexp_extract(_slashed(F.col("dir")), r"^[^/]*/(.*)$", 1)

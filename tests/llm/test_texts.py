@@ -216,6 +216,14 @@ def test_outdated_boilerplate_is_no_idiom(spark):
     assert found_files(spark, rows, repos, boiler=[1, 77, 78, 79]) == {(8, "lex.yy.cc"): "generated"}
 
 
+def test_repeated_rows_are_no_data(spark):
+    rows, repos = own_files(random.Random(8), 12, [1, 2, 3])
+    rows = [(*r, None if r[3] % 5 == 0 else r[3] // 2) for r in rows]
+    rows += [r for r in rows if r[1] <= 4] * 2  # repositories that came in three times
+    rows += [(50 + p % 2, 9, "table.cpp", p, 1) for p in range(30)]
+    assert found_files(spark, rows, repos) == {(9, "table.cpp"): "data"}
+
+
 def test_found_queries_run_on_clashing_columns(spark):
     df = spark.createDataFrame([page(1, ITEM)], PAGE).withColumn("words", F.lit(1)).withColumn("x", F.lit(2))
     items = spark.createDataFrame([(1, ITEM, 3)], "item_id long, text string, doc_id int")
