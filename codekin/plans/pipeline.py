@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codekin.operators import calibrate, check, clusters, index, prints
+from codekin.operators import calibrate, check, clusters, evidence, index, prints
 from codekin.sources.specs import Spec
 
 
@@ -41,7 +41,7 @@ class Corpus:
 
     def build(self, sources: DataFrame, force: bool = False) -> bool:
         """Index and calibrate (repo, relpath, text); False if nothing had to be done. Repositories are keyed by name."""
-        if not force and self.has("null") and not self.stale(sources):
+        if not force and self.has("null") and self.has("evidence") and not self.stale(sources):
             return False
         s = self.spec
         p = self.write("print", prints.winnow(sources, s.k, s.window).select("hash", "repo", "file", "line", "pos"))
@@ -55,10 +55,12 @@ class Corpus:
         reps = self.read("repo").where("representative = 1 and cluster is not null").select(F.col("name").alias("repo"))
         pairs = index.pair_containment(index.buckets(clean.join(reps, "repo", "left_semi")))
         self.write("null", calibrate.top_match_stats(calibrate.top_match(pairs, reps)))
+        texts = self.write("source", sources.select("repo", "relpath", "text").where("repo is not null"))
+        self.write("evidence", evidence.ceilings(texts, names.count()))
         return True
 
     def check(self, submissions: DataFrame, handles: DataFrame | None = None) -> DataFrame:
-        """Ranked matches of submissions (repo, relpath, text); handles: (sub, handles array)."""
+        """Ranked matches of submissions (repo, relpath, text) with their evidence channels; handles: (sub, handles array)."""
         s = self.spec
         subs = prints.winnow(submissions, s.k, s.window).select(F.col("repo").alias("sub"), "hash").distinct().join(self.read("boiler"), "hash", "left_anti")
         clean = self.read("clean")
@@ -66,4 +68,5 @@ class Corpus:
         if handles is not None:
             owner = F.split("repo", "/")[0]
             scored = scored.join(handles, "sub", "left").withColumn("self_match", check.self_match(owner, F.col("handles"))).drop("handles")
-        return check.top_matches(scored.withColumn("verdict", check.band(scored.columns)), s.top_n)
+        ranked = check.top_matches(scored.withColumn("verdict", check.band(scored.columns)), s.top_n)
+        return evidence.judged(ranked, submissions, self.read("source"), self.read("evidence"))

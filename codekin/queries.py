@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codekin.functions.paths import language_of, selected
 from codekin.functions.tokens import evidence_texts, normal_type, strip_cpp
-from codekin.operators import calibrate, check, clusters, discover, hotkeys, index, locate, prints, runs, structure, verify
+from codekin.operators import calibrate, check, clusters, discover, evidence as channel_evidence, hotkeys, index, locate, prints, runs, structure, verify
 from codekin.plans import report
 from codekin.scratch import materialise
 from codekin.sources.tables import table
@@ -203,6 +203,14 @@ def check_evidence_gate(spark: SparkSession, d: str) -> DataFrame:
     return check.evidence_gate(check.top_matches(_ranked(spark, d))).select("sub", "repo", "rank", "verdict")
 
 
+def check_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The best matches with the verdict over all channels; the other check queries stop at containment, as their SQL does."""
+    named = _named(spark, d)
+    null = channel_evidence.ceilings(named, table(spark, d, "repo").count())
+    out = channel_evidence.judged(check.top_matches(_ranked(spark, d)), named.where(F.col("repo") % EVERY == 0), named, null)
+    return out.select("sub", "repo", "rank", "containment", "longest", "ast_n", "ast_frac", "sig_n", "sig_frac", "verdict")
+
+
 # ---- runs and evidence
 
 
@@ -246,11 +254,7 @@ def evidence_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_null_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = _named(spark, d)
-    lengths = prints.offsets(prints.file_tokens(s)).groupBy("repo").agg(F.max("total").alias("n")).where("n > 100")
-    pairs = materialise(calibrate.sampled_pairs(lengths, 42, 90, 400), "sample")
-    longest = materialise(runs.longest_runs(pairs, runs.maximal_runs(pairs, prints.kgrams(_named(spark, d, pairs), runs.K), runs.K)), "longest")
-    return calibrate.run_null_stats(longest, table(spark, d, "repo").count())
+    return channel_evidence.run_null(_named(spark, d), table(spark, d, "repo").count())
 
 
 # ---- verification and location
@@ -369,12 +373,7 @@ def shape_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def channel_nulls(spark: SparkSession, d: str) -> DataFrame:
-    f = materialise(structure.function_shapes(_named(spark, d), 8), "shapes").withColumn("repo", F.col("repo").cast("long"))
-    g = materialise(structure.type_signatures(_named(spark, d), 2), "signatures").withColumn("repo", F.col("repo").cast("long"))
-    enough = lambda x: x.select("repo", "hash").distinct().groupBy("repo").count().where("count >= 4").select("repo")
-    pairs = materialise(calibrate.sampled_pairs(enough(f).join(enough(g), "repo"), 23, 90, 500), "sample")
-    ast = calibrate.channel_null_stats(materialise(structure.channel_scores(f, pairs, False), "scores"), "frac", "ast")
-    return ast.crossJoin(calibrate.channel_null_stats(materialise(structure.channel_scores(g, pairs, True), "scores"), "frac", "sig"))  # one row each
+    return channel_evidence.channel_null(_named(spark, d))[1]
 
 
 def queries() -> dict:
@@ -382,7 +381,7 @@ def queries() -> dict:
     fs = (
         p6_found, p6_hash_counts, p6_repo_counts, p6_pos_quantiles, token_counts, token_lines, content_tokens, stripped_sizes, evidence, language_classify, wanted_paths, normal_types,
         kgram_counts, winnow_prints, winnow_density, print_df, boilerplate, clean_set_sizes, co_occurrence, similarity_edges, cluster_members, cluster_sizes, cluster_drift, baseline_stats,
-        top_match_null, top_match_stats, check_shared, check_top_matches, check_bands, check_evidence_gate, longest_runs, evidence_regions, evidence_snippets, run_null_stats, verify_lines,
+        top_match_null, top_match_stats, check_shared, check_top_matches, check_bands, check_evidence_gate, check_verdicts, longest_runs, evidence_regions, evidence_snippets, run_null_stats, verify_lines,
         verify_hits, verify_score, makefile_name, locate_dirs, locate_score, locate_best, event_discovery, event_delay, month_slices, candidate_keep, first_source_wins, resume_todo,
         requeue_by_reason, owner_expansion, newest_events, candidate_status, function_shapes, type_signatures, shape_scores, signature_scores, shape_matches, channel_nulls,
     )

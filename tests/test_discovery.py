@@ -120,6 +120,32 @@ def test_pipeline_checks_and_report(spark, tmp_path):
     assert sorted((r.start, r.line, r.marked) for r in got) == [(2, 1, False), (2, 2, True), (2, 3, True), (2, 4, False), (12, 11, False), (12, 12, True)]
 
 
+def program(rng, ops, n=12):
+    """n functions; their control flow comes from rng, their operators from ops (as tokens they differ, as kinds they don't)."""
+    out, (plus, less, put) = [], ops
+    for f in range(n):
+        body = []
+        for _ in range(8):
+            step = rng.choice(["if (x {l} 1) {{ x {p} y; }}", "while (y {l} x) {{ y = y {a} 2; g(x); }}", "for (int i = 0; i {l} x; ++i) {{ x {p} i; }}", "return y {a} x;", "x = h(y) {a} 3;"])
+            body.append("    " + step.format(a=plus, l=less, p=put))
+        out.append(f"int f{f}(int x, int y)\n{{\n" + "\n".join(body) + "\n}\n")
+    return "".join(out)
+
+
+def test_pipeline_verdict_reads_every_channel(spark, tmp_path):
+    common = "void common(int x)\n{\n" + "    print(x, 1); x = x % 7; if (x == 3) { stop(x); }\n" * 3 + "}\n"
+    rows = [(f"u{i}/p", "a.cpp", program(random.Random(i), ("+", "<", "+=")) + common * (i < 2)) for i in range(5)] + [("empty/p", "a.cpp", None)]
+    src = spark.createDataFrame(rows, "repo string, relpath string, text string")
+    c = Corpus(spark, str(tmp_path), specs.Spec("x", boiler_share=0.9))
+    assert c.build(src) and not c.build(src)
+    # The submission has u1's control flow with other operators, and bears the name of another repository.
+    sub = spark.createDataFrame([("u3/p", "z.cpp", program(random.Random(1), ("-", ">", "-=")) + common)], src.schema)
+    got = {r.repo: r for r in c.check(sub).collect()}
+    assert got["u1/p"].containment < 0.18 and got["u0/p"].containment < 0.18
+    assert (got["u1/p"].ast_frac, got["u1/p"].verdict) == (1.0, "HIGH")
+    assert got["u0/p"].ast_frac < 0.2 and got["u0/p"].verdict in ("LOW", "NORMAL") and got["u0/p"].longest >= 20
+
+
 def test_files_specs_search_and_manifest(spark, tmp_path):
     root = tmp_path / "tree"
     for p, b in (("r1/src/a.cpp", b"int \xff x;"), ("r1/.git/b.cpp", b"no"), ("r1/readme.txt", b"no"), ("r2/Dockerfile", b"FROM a")):
