@@ -1,7 +1,7 @@
 """The fingerprint index: document frequencies, boilerplate, clean sets, co-occurring pairs and their containment.
 
 Pairs come from an inverted index whose buckets above ``cap`` repositories are left out of the search (they are residual
-boilerplate), while the containment counts the full intersection. The capped part is counted in the pair join itself;
+boilerplate) unless ``whole`` is asked for, while the containment counts the full intersection. The capped part is counted in the pair join itself;
 hashes of larger buckets are few and are added for pairs that can still reach the asked containment.
 
 Skew: (repo, hash) is made unique with combining before any join, a bucket in the join holds at most ``cap`` rows.
@@ -52,7 +52,7 @@ class Buckets:
     """Clean sets split by bucket size; hashes of one repository only count for the set's size."""
 
     narrow: DataFrame  # repo, hash, n: buckets of 2 to cap repositories
-    wide: DataFrame  # repo, hash: larger buckets
+    wide: DataFrame  # repo, hash, df: larger buckets
     sizes: DataFrame  # repo, n, wide: size of the set, and its number of hashes in larger buckets
 
 
@@ -62,7 +62,7 @@ def buckets(sets: DataFrame, cap: int = CAP) -> Buckets:
     held = materialise(df.groupBy("repo", F.when(F.col("df") > 1, F.col("hash")).alias("hash"), "df").agg(F.count("*").alias("k")), "buckets")
     sizes = materialise(held.groupBy("repo").agg(F.sum("k").alias("n"), F.count_if(F.col("df") > cap).alias("wide")), "sizes")
     narrow = held.where((F.col("df") > 1) & (F.col("df") <= cap)).select("repo", "hash")
-    wide = held.where((F.col("df") > 1) & (F.col("df") > cap)).select("repo", "hash")
+    wide = held.where((F.col("df") > 1) & (F.col("df") > cap)).select("repo", "hash", "df")
     return Buckets(narrow, wide, sizes)
 
 
@@ -73,13 +73,46 @@ def candidate_pairs(b: Buckets) -> DataFrame:
     return left.join(right, "hash").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
 
 
-def pair_containment(b: Buckets, least: float = 0.0) -> DataFrame:
-    """(a, b, shared, containment) of the co-occurring pairs with at least ``least``; shared is the full intersection."""
+def wide_pairs(b: Buckets, least: float) -> DataFrame:
+    """(a, b), a < b: every pair that shares no narrow hash and can reach ``least``, and others; found in the larger buckets.
+
+    What such a pair shares is all wide, so the smaller set has one of the shared hashes among its wide ones without the
+    need - 1 most common; only those are looked up. Equal sets take part once, through the lowest of them.
+    """
+    own = b.wide.join(b.sizes, "repo")
+    n_wide = F.col("wide")
+    # Equal sets have equal wide and narrow parts; hashes of a single repository are in neither, so n tells those apart.
+    parts = b.wide.select("repo", "hash").unionByName(b.narrow.select("repo", "hash")).join(b.sizes.where(n_wide > 0).select("repo", "n"), "repo")
+    marked = parts.groupBy("repo", "n").agg(F.count("*").alias("held"), F.md5(F.concat_ws(",", F.sort_array(F.collect_list(F.col("hash").cast("string"))))).alias("mark"))
+    key = F.when(F.col("held") == F.col("n"), F.col("mark")).otherwise(F.concat(F.lit("repo "), F.col("repo").cast("string")))
+    marked = materialise(marked.select("repo", key.alias("key")), "marked")
+    members = materialise(marked.join(marked.groupBy("key").agg(F.min("repo").alias("rep")), "key").select("repo", "rep"), "members")
+    own = own.join(members.where("repo = rep").select("repo"), "repo", "left_semi")
+    need = F.greatest(F.lit(1), F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("df", "hash"))
+    probes = own.where(n_wide >= need).withColumn("place", place).where(F.col("place") <= n_wide - need + 1).select(F.col("repo").alias("x"), F.col("n").alias("nx"), "hash")
+    held = own.select(F.col("repo").alias("y"), F.col("n").alias("ny"), "hash")
+    met = probes.join(held, "hash").where((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    copies = members.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1")
+    met = met.unionByName(copies.select(F.col("rep").alias("x"), F.col("rep").alias("y")))
+    both = met.join(members.toDF("p", "x"), "x").join(members.toDF("q", "y"), "y").where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
+def pair_containment(b: Buckets, least: float = 0.0, whole: bool = False) -> DataFrame:
+    """(a, b, shared, containment) of the co-occurring pairs with at least ``least``; shared is the full intersection.
+
+    ``whole`` also finds the pairs that share hashes of larger buckets only; without it they are left out, as the cap asks.
+    """
     sa = b.sizes.select(F.col("repo").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
     sb = b.sizes.select(F.col("repo").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
-    pairs = candidate_pairs(b).join(sa, "a").join(sb, "b").withColumn("low", F.least("na", "nb"))
+    found = candidate_pairs(b)
+    if whole:
+        found = materialise(found, "narrow")
+        found = found.unionByName(wide_pairs(b, least).join(found, ["a", "b"], "left_anti").withColumn("k", F.lit(0).cast("long")))
+    pairs = found.join(sa, "a").join(sb, "b").withColumn("low", F.least("na", "nb"))
     pairs = pairs.where(F.col("k") + F.least("wa", "wb") >= F.lit(least) * F.col("low"))
-    if least > 0:
+    if least > 0 or whole:
         pairs = materialise(pairs, "pairs")
     wide_a = b.wide.select(F.col("repo").alias("a"), "hash")
     wide_b = b.wide.select(F.col("repo").alias("b"), "hash")
@@ -89,9 +122,9 @@ def pair_containment(b: Buckets, least: float = 0.0) -> DataFrame:
     return out.withColumn("containment", F.col("shared") / F.col("low")).where(F.col("containment") >= least).drop("low")
 
 
-def similarity_edges(sets: DataFrame, least: float = 0.15, cap: int = CAP) -> DataFrame:
+def similarity_edges(sets: DataFrame, least: float = 0.15, cap: int = CAP, whole: bool = False) -> DataFrame:
     """(a, b, shared, containment) of pairs above the honest ceiling."""
-    return pair_containment(buckets(sets, cap), least)
+    return pair_containment(buckets(sets, cap), least, whole)
 
 
 def partners(sets: DataFrame, cap: int = CAP) -> DataFrame:

@@ -49,11 +49,11 @@ class Corpus:
         boiler = self.write("boiler", index.boilerplate(p, names, s.boiler_share))
         clean = self.write("clean", index.clean_sets(p, boiler))
         sizes = index.set_sizes(clean)
-        edges = self.write("edge", index.similarity_edges(clean))
+        edges = self.write("edge", index.similarity_edges(clean, whole=True))
         groups = clusters.representatives(sizes, edges)
         self.write("repo", names.join(groups.withColumnRenamed("repo", "name"), "name", "left").withColumn("representative", F.coalesce("representative", F.lit(1))))
         reps = self.read("repo").where("representative = 1 and cluster is not null").select(F.col("name").alias("repo"))
-        pairs = index.pair_containment(index.buckets(clean.join(reps, "repo", "left_semi")))
+        pairs = index.pair_containment(index.buckets(clean.join(reps, "repo", "left_semi")), whole=True)
         self.write("null", calibrate.top_match_stats(calibrate.top_match(pairs, reps)))
         texts = self.write("source", sources.select("repo", "relpath", "text").where("repo is not null"))
         self.write("evidence", evidence.ceilings(texts, names.count()))

@@ -130,6 +130,11 @@ def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
     return index.similarity_edges(_clean(spark, d))
 
 
+def whole_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges beyond the cap of ``similarity_edges``, which is the cap of its SQL."""
+    return index.similarity_edges(_clean(spark, d), whole=True)
+
+
 def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     clean = materialise(_clean(spark, d), "clean")
     return clean, materialise(clusters.representatives(index.set_sizes(clean), index.similarity_edges(clean)), "clustered")
@@ -380,7 +385,7 @@ def queries() -> dict:
     """Every query by name."""
     fs = (
         p6_found, p6_hash_counts, p6_repo_counts, p6_pos_quantiles, token_counts, token_lines, content_tokens, stripped_sizes, evidence, language_classify, wanted_paths, normal_types,
-        kgram_counts, winnow_prints, winnow_density, print_df, boilerplate, clean_set_sizes, co_occurrence, similarity_edges, cluster_members, cluster_sizes, cluster_drift, baseline_stats,
+        kgram_counts, winnow_prints, winnow_density, print_df, boilerplate, clean_set_sizes, co_occurrence, similarity_edges, whole_edges, cluster_members, cluster_sizes, cluster_drift, baseline_stats,
         top_match_null, top_match_stats, check_shared, check_top_matches, check_bands, check_evidence_gate, check_verdicts, longest_runs, evidence_regions, evidence_snippets, run_null_stats, verify_lines,
         verify_hits, verify_score, makefile_name, locate_dirs, locate_score, locate_best, event_discovery, event_delay, month_slices, candidate_keep, first_source_wins, resume_todo,
         requeue_by_reason, owner_expansion, newest_events, candidate_status, function_shapes, type_signatures, shape_scores, signature_scores, shape_matches, channel_nulls,

@@ -38,6 +38,14 @@ def test_containment_counts_full_sets(spark, corpus, cap, least):
     assert got == {k: v for k, v in pairs_of(corpus, cap).items() if v >= least}
 
 
+@pytest.mark.parametrize("least", [0.0, 0.15, 0.5])
+def test_whole_search_knows_no_cap(spark, corpus, least):
+    d = corpus | {100 + i: set(range(2000, 2010)) for i in range(9)} | {200: set(range(2000, 2004)) | {1}, 201: set(range(2000, 2010)) | {3001}, 202: set(range(2000, 2010)) | {3002}}
+    got = index.similarity_edges(sets_of(spark, d), least, 6, whole=True).collect()
+    assert len(got) == len({(r.a, r.b) for r in got})
+    assert {(r.a, r.b): r.containment for r in got} == {k: v for k, v in pairs_of(d, 10**9).items() if v >= least}
+
+
 def test_boilerplate_counts_print_less_repositories(spark):
     prints = spark.createDataFrame([(7, 1, "a", 1, 1), (7, 1, "a", 1, 1), (8, 2, "a", None, 1), (None, 2, "a", 1, 1)], "hash long, repo long, file string, line int, pos int")
     for n, want in ((4, {7, 8}), (5, set())):
