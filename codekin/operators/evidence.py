@@ -47,7 +47,8 @@ def ceilings(sources: DataFrame, n_corpus: int) -> DataFrame:
     pairs, channels = channel_null(cpp_only(sources))
     n = pairs.agg(F.count("*").alias("n_pairs"))
     known = [F.when(F.col("n_pairs") > 0, F.greatest(F.col(c), F.lit(LEAST))).alias(c) for c in ("ast_p99", "sig_p99")]
-    return run_null(sources, n_corpus).select(F.col("threshold").alias("run_threshold")).crossJoin(channels).crossJoin(n).select("run_threshold", *known)  # one row each
+    runs_row = materialise(run_null(sources, n_corpus).select(F.col("threshold").alias("run_threshold")), "ceiling")
+    return materialise(runs_row.crossJoin(channels).crossJoin(n).select("run_threshold", *known), "ceilings")  # one row each
 
 
 def channels(pairs: DataFrame, submissions: DataFrame, sources: DataFrame) -> DataFrame:
@@ -56,9 +57,11 @@ def channels(pairs: DataFrame, submissions: DataFrame, sources: DataFrame) -> Da
     named = materialise(pairs.select("sub", "repo", key("s:", "sub").alias("a"), key("c:", "repo").alias("b")), "gated")
     both = submissions.select(key("s:", "repo").alias("repo"), "relpath", "text").unionByName(sources.select(key("c:", "repo").alias("repo"), "relpath", "text"))
     both = materialise(both.join(named.select(F.explode(F.array("a", "b")).alias("repo")).distinct(), "repo", "left_semi"), "texts")
-    out = named.join(runs.longest_runs(named, runs.maximal_runs(named.select("a", "b"), prints.kgrams(both, runs.K))), ["a", "b"], "left")
+    # Each channel is written before the next one, which keeps the plans, and what the driver holds of them, small.
+    grams = materialise(prints.kgrams(both, runs.K), "grams")
+    out = named.join(materialise(runs.longest_runs(named, runs.maximal_runs(named.select("a", "b"), grams)), "longest"), ["a", "b"], "left")
     for name, found, smaller in (("ast", structure.function_shapes(cpp_only(both)), False), ("sig", structure.type_signatures(cpp_only(both)), True)):
-        scores = structure.channel_scores(materialise(found, name), named, smaller)
+        scores = materialise(structure.channel_scores(materialise(found, name), named, smaller), "scores")
         out = out.join(scores.select("a", "b", F.col("n").alias(f"{name}_n"), F.col("frac").alias(f"{name}_frac")), ["a", "b"], "left")
     return out.drop("a", "b")
 

@@ -210,7 +210,7 @@ def check_evidence_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def check_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """The best matches with the verdict over all channels; the other check queries stop at containment, as their SQL does."""
-    named = _named(spark, d)
+    named = materialise(_named(spark, d), "named")
     null = channel_evidence.ceilings(named, table(spark, d, "repo").count())
     out = channel_evidence.judged(check.top_matches(_ranked(spark, d)), named.where(F.col("repo") % EVERY == 0), named, null)
     return out.select("sub", "repo", "rank", "containment", "longest", "ast_n", "ast_frac", "sig_n", "sig_frac", "verdict")
