@@ -156,29 +156,40 @@ def test_handwritten(spark):
     idioms, library = [1, 2, 3], list(range(100, 140))
     rows, repos, sources = [], [], []
     for r in range(1, 31):
-        repos.append((r, f"o{r}/p", f"o{r}~p" + ("/third_party/zip-src" if r == 12 else "/project_external"), f"o{r}"))
+        below = {12: "/third_party/zip-src", 13: "/third_party_exercise"}.get(r, "")
+        repos.append((r, f"o{r}/p", f"o{r}~p{below}", f"o{r}"))
         rows += [(h, r, "own.cpp", p) for p, h in enumerate(fresh(20) + idioms)]
         if r <= 6:
-            rows += [(h, r, f"util{r}.h", p) for p, h in enumerate(library)]
-    rows += [(h, 7, "cut.h", p) for p, h in enumerate(library[:12] + fresh(5))]  # a cut copy
+            rows += [(h, r, f"third_party/util{r}.h", p) for p, h in enumerate(library)]
+        if 7 <= r <= 11:  # tools are told by marks that only files without idioms bear
+            rows += [(h, r, f"Auto\\lexer{r}.yy.cc", p) for p, h in enumerate(fresh(20))]
+            rows += [(h, r, f"tool{r}.cpp", p) for p, h in enumerate(fresh(20))]
+            sources.append((f"o{r}/p", f"tool{r}.cpp", f"// forged by anvil {r}.2 from in{r}.def\nint x;", "n"))
+        if 14 <= r <= 19:
+            rows += [(50, r, f"t{r}.hpp", p) for p in range(40)]  # literal-only
+    rows += [(h, 7, "cut.h", p) for p, h in enumerate(library[:22] + fresh(5))]  # a cut copy
     shared = fresh(30)
     rows += [(h, r, "friend.cpp", p) for r in (1, 2) for p, h in enumerate(shared + idioms)]  # shared between two students
-    rows += [(50, 1, "data.hpp", p) for p in range(40)]
-    rows += [(h, 2, "gen\\lexer.cc", p) for p, h in enumerate(fresh(20))]
-    rows += [(h, 3, "tool.cpp", p) for p, h in enumerate(fresh(20))]
+    rows += [(h, 3, "small.yy.cc", p) for p, h in enumerate(fresh(4))]  # too short to be told by its idioms alone
     rows += [(h, 4, "trap.cpp", p) for p, h in enumerate(fresh(20) + idioms)]
-    rows += [(h, 5, "app.min.js", p) for p, h in enumerate(fresh(20))]
+    rows += [(h, 5, "bare.cpp", p) for p, h in enumerate(fresh(20))]  # no idioms, but no mark either
+    alike = fresh(40)
+    rows += [(h, 20, f"part{i}.cpp", p) for i in range(3) for p, h in enumerate(alike + fresh(2))]  # a family in one repository
+    rows += [(h, 21, f"ex0{i}/same.cpp", p) for i in range(3) for p, h in enumerate(fresh(1)[:0] + [x + 1 for x in alike])]  # equal copies are none
     rows += [(None, 6, "null.cpp", 1), (5, None, "x", 1), (5, 6, None, 1)]
-    sources = [("o3/p", "tool.cpp", "// machine-written by forge 1.2; edits get lost\nint x;", "n"), ("o3/p", "tool.cpp", None, "n"), ("o4/p", "trap.cpp", '#include "a"\n// generated ids, do not edit\n', "n"), (None, "x", "y", "n")]
+    sources += [("o4/p", "trap.cpp", "// forged by anvil 1.2 from in.def\nint x;", "n"), ("o3/p", "tool.cpp", None, "n"), (None, "x", "y", "n"), ("o22/p", "own.cpp", "// by anvil\n", "n")]
     prints = spark.createDataFrame(rows, "hash long, repo long, file string, pos int")
     src = spark.createDataFrame(sources, "repo string, relpath string, text string, name string")
     rep = spark.createDataFrame(repos, "id long, name string, dir string, owner string")
     boiler = spark.createDataFrame([(1,), (None,)], "hash long")
     got = {(r.repo, r.file): r.kind for r in handwritten.not_handwritten(prints, src, rep, boiler).collect()}
-    want = {(r, f"util{r}.h"): "copied" for r in range(1, 7)}
-    want |= {(7, "cut.h"): "copied", (1, "data.hpp"): "data", (2, "gen\\lexer.cc"): "generated", (3, "tool.cpp"): "generated", (5, "app.min.js"): "squeezed", (12, "own.cpp"): "copied"}
+    want = {(r, f"third_party/util{r}.h"): "copied" for r in range(1, 7)} | {(r, f"t{r}.hpp"): "data" for r in range(14, 20)}
+    want |= {(r, f): "generated" for r in range(7, 12) for f in (f"Auto\\lexer{r}.yy.cc", f"tool{r}.cpp")} | {(20, f"part{i}.cpp"): "generated" for i in range(3)}
+    want |= {(7, "cut.h"): "copied", (3, "small.yy.cc"): "generated", (12, "own.cpp"): "copied"}
     assert got == want
     assert handwritten.not_handwritten(prints.limit(0), src.limit(0), rep.limit(0), boiler).count() == 0
+    hinted = {(r.repo, r.file): r.kind for r in handwritten.not_handwritten(prints.where("repo < 7 or repo = 12"), src, rep, boiler, hints=True).collect()}
+    assert hinted == {k: v for k, v in want.items() if k[0] < 7 and k[1] != "small.yy.cc" or k[0] == 12}
 
 
 def own_files(rng, n, idioms):
@@ -201,27 +212,26 @@ def test_library_in_most_repositories(spark):
     library = list(range(100, 140))
     rows += [(h, r, "util.h", p) for r in range(1, 15) for p, h in enumerate(library + [1])]
     rows += [(h, r, "cut.h", p) for r in range(15, 25) for p, h in enumerate(library[:25] + [rng.randint(10**6, 10**12) for _ in range(15)])]
-    rows += [(h, 25, "vendor/part.h", p) for p, h in enumerate(library[:4] + [rng.randint(10**6, 10**12) for _ in range(20)])]
     want = {(r, "util.h"): "copied" for r in range(1, 15)} | {(r, "cut.h"): "copied" for r in range(15, 25)}
-    assert found_files(spark, rows, repos) == want | {(25, "vendor/part.h"): "copied"}
+    assert found_files(spark, rows, repos) == want
 
 
 def test_outdated_boilerplate_is_no_idiom(spark):
     rng = random.Random(7)
     rows, repos = own_files(rng, 30, [1, 2, 3])
-    rows += [(h, 8, "lex.yy.cc", p) for p, h in enumerate([rng.randint(10**6, 10**12) for _ in range(20)] + [77])]
+    rows += [(h, r, "lex.yy.cc", p) for r in range(8, 14) for p, h in enumerate([rng.randint(10**6, 10**12) for _ in range(20)] + [77] * (r == 8))]
     rows += [(77, r, "old.cpp", 1) for r in (9, 10)]
     rows += [(78, r, "listed.cpp", 1) for r in range(1, 6)]  # below the idioms' share, but listed and in use
-    rows += [(h, 11, "ui_own.cpp", p) for p, h in enumerate([rng.randint(10**6, 10**12) for _ in range(20)] + [78])]
-    assert found_files(spark, rows, repos, boiler=[1, 77, 78, 79]) == {(8, "lex.yy.cc"): "generated"}
+    rows += [(h, 11, "own.yy.cpp", p) for p, h in enumerate([rng.randint(10**6, 10**12) for _ in range(20)] + [78])]
+    assert found_files(spark, rows, repos, boiler=[1, 77, 78, 79]) == {(r, "lex.yy.cc"): "generated" for r in range(8, 14)}
 
 
 def test_repeated_rows_are_no_data(spark):
     rows, repos = own_files(random.Random(8), 12, [1, 2, 3])
     rows = [(*r, None if r[3] % 5 == 0 else r[3] // 2) for r in rows]
     rows += [r for r in rows if r[1] <= 4] * 2  # repositories that came in three times
-    rows += [(50 + p % 2, 9, "table.cpp", p, 1) for p in range(30)]
-    assert found_files(spark, rows, repos) == {(9, "table.cpp"): "data"}
+    rows += [(50 + p % 2, r, "table.cpp", p, 1) for r in range(5, 11) for p in range(30)]
+    assert found_files(spark, rows, repos) == {(r, "table.cpp"): "data" for r in range(5, 11)}
 
 
 def test_found_queries_run_on_clashing_columns(spark):
