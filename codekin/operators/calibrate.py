@@ -9,19 +9,41 @@ match 0.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codekin.operators.hotkeys import key_quantiles
+BUCKETS = 1 << 16
 
 
 def ranked_values(df: DataFrame, value: str, picks: dict[str, float]) -> DataFrame:
-    """One row: for each name the value at rank floor(p * n), n - 1 at most; values in [0, 1] or integers below 2**52."""
-    scaled = df.where(F.col(value).isNotNull()).select(F.lit(0).alias("key"), F.col(value).cast("double").alias("value")).withColumn("x", (F.col("value") * F.lit(float(1 << 40))).cast("long"))
+    """One row: for each name the value at rank floor(p * n), n - 1 at most; values in [0, 1] or integers below 2**22.
+
+    All ranks are refined together: each round counts values per bucket of the rank's interval, combined in each task, and
+    one row per percentile comes back.
+    """
+    spark = df.sparkSession
+    scaled = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value")).withColumn("x", (F.col("value") * F.lit(float(1 << 40))).cast("long"))
+    n, low, high = scaled.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return spark.range(1).select(*[F.lit(0.0).alias(name) for name in picks])
+    ps = sorted(set(picks.values()))
+    state = [(min(math.floor(p * n), n - 1), low, high) for p in ps]
+    while any(hi > lo for _, lo, hi in state):
+        widths = [-(-(hi - lo + 1) // BUCKETS) for _, lo, hi in state]
+        tags = [F.when(F.col("x").between(lo, hi), F.struct(F.lit(i).alias("i"), F.round((F.col("x") - lo - F.pmod(F.col("x") - lo, F.lit(w))) / w).cast("long").alias("b"))) for i, ((_, lo, hi), w) in enumerate(zip(state, widths, strict=True))]
+        hist = scaled.select(F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("t")).groupBy("t.i", "t.b").agg(F.count("*").alias("n"))
+        upto = hist.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("b")))  # at most BUCKETS rows a percentile
+        rank = F.element_at(F.array(*[F.lit(r) for r, _, _ in state]), F.col("i") + 1)
+        for r in upto.where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)).collect():
+            k, lo, hi = state[r.i]
+            at = lo + r.b * widths[r.i]
+            state[r.i] = (k - (r.upto - r.n), at, min(hi, at + widths[r.i] - 1))
     # Equal integers may hold unequal ratios only beyond 2**-40; the least of them is reported.
-    q = key_quantiles(scaled, "key", "x", sorted(set(picks.values())), bits=16)
-    found = scaled.join(F.broadcast(q), F.col("x") == F.col("v")).groupBy("q").agg(F.min("value").alias("value"))  # q has a row per asked percentile
-    return found.agg(*[F.coalesce(F.max(F.when(F.col("q") == F.lit(float(p)), F.col("value"))), F.lit(0.0)).alias(name) for name, p in picks.items()])
+    at = dict(zip(ps, (lo for _, lo, _ in state), strict=True))
+    found = {r.x: r.v for r in scaled.where(F.col("x").isin(sorted(set(at.values())))).groupBy("x").agg(F.min("value").alias("v")).collect()}
+    return spark.range(1).select(*[F.lit(found[at[p]]).alias(name) for name, p in picks.items()])
 
 
 def baseline_stats(pairs: DataFrame) -> DataFrame:

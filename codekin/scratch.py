@@ -26,11 +26,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/codekin-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the scratch folder and return a scan of it."""
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the scratch folder that no other table has."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the scratch folder, in directories ``by`` columns if given, and return a scan of it."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = fresh_path(spark, name)
+    df.write.option("compression", "zstd").partitionBy(*(by or [])).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
