@@ -12,9 +12,10 @@ nodes without a link have no group unless asked for, an empty table gives no row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codekin.operators.hotkeys import join_counted
 from codekin.scratch import discard, materialise
 
 
@@ -61,6 +62,7 @@ def repository_groups(edges: DataFrame, repos: DataFrame, least: float = 0.15) -
 def assign_all(edges: DataFrame, repos: DataFrame, least: float = 0.15) -> DataFrame:
     """(id, group_id, members, old_cluster): every repository; one without links is a group of its own."""
     g = repository_groups(edges, repos, least)
-    size = Window.partitionBy("group_id")
     r = repos.where("id is not null").select("id", F.col("cluster").alias("old_cluster")).dropDuplicates(["id"])
-    return r.join(g, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), "old_cluster").withColumn("members", F.count("*").over(size))
+    every = r.join(g, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), "old_cluster")
+    every = materialise(every, "assigned")
+    return join_counted(every, every.groupBy("group_id").agg(F.count("*").alias("members")), ["group_id"], "members").select("id", "group_id", "old_cluster", "members")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codekin.llm import groups, handwritten, history, leakage, packing, readlevel, setjoin, spans, termstats
-from codekin.scratch import materialise
+from codekin.scratch import fresh_path, materialise
 from codekin.sources.tables import table
 
 
@@ -51,16 +51,20 @@ def p5_assigned(spark: SparkSession, d: str) -> DataFrame:
     return groups.assign_all(table(spark, d, "edges"), table(spark, d, "repo"))
 
 
+def _term_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and repositories per hash: built from the repositories of batch 0, each later batch of candidates a delta."""
+    terms = termstats.record_terms(table(spark, d, "print"), "hash", "repo", "file", ["line", "pos"])
+    batches = table(spark, d, "candidates").select(F.col("repo").alias("record"), F.col("batch_no").alias("batch"))
+    return termstats.by_batches(terms, batches, termstats.TermTable(spark, fresh_path(spark, "term_table"))).counts()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    terms = termstats.record_terms(table(spark, d, "print"), "hash", "repo")
-    state = materialise(termstats.merge(None, termstats.changes(None, terms)), "terms")
     total = table(spark, d, "repo").agg(F.count("*").alias("total"))
-    return termstats.mark_terms(state, table(spark, d, "boiler").select("hash"), total).toDF("hash", "mark")
+    return termstats.mark_terms(materialise(_term_counts(spark, d), "counts"), table(spark, d, "boiler").select("hash"), total).toDF("hash", "mark")
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
-    terms = termstats.record_terms(table(spark, d, "print"), "hash", "repo", ["file", "line", "pos"])
-    return termstats.merge(None, termstats.changes(None, terms)).select(F.col("term").alias("hash"), "n_rows", "n_records")
+    return _term_counts(spark, d).withColumnRenamed("term", "hash")
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:

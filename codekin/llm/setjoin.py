@@ -8,8 +8,11 @@ Prefix bound: for a set of n tokens with need t = ceil(share * n), the prefix ho
 l = ceil(t / 2). Any superset-sized partner that shares t tokens shares at least t - (n - prefix) of them with the
 prefix. Only prefix tokens of the smaller set probe the index, pairs below that count are dropped, and the survivors
 are verified exactly by counting the tokens beyond the prefix. Length filter: the probe only meets sets of equal or
-larger size. Positional filter: a probe at frequency f meets a partner only if enough of the partner's tokens lie at f
-or beyond.
+larger size. Positional filter: at a token of frequency f two sets can share no more than the fewer of their rarer
+tokens and the fewer of their tokens from f on; where that is below t, the row is dropped in the join.
+
+The index holds whole sets, as a small set may need one token only, whatever the size of its partner. A token of very
+many sets is never gathered: its rows keep their place and meet a combined count.
 
 Skew: exact copies of a set join once, through a representative (the lowest id with the same 128-bit set fingerprint
 and size), and are expanded by membership. Frequencies and prefixes come from counts per (record, frequency), so a
@@ -26,6 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codekin.operators.hotkeys import HOT_SHARE, heavy_keys, join_counted, with_key_counts
 from codekin.scratch import materialise
 
 
@@ -46,49 +50,45 @@ def distinct_sets(df: DataFrame, id_col: str, token_col: str, exclude: DataFrame
     return rows.select("id", "tok")
 
 
-def similar_sets(sets: DataFrame, share: float = 0.5) -> SetJoin:
-    """Pairs among the rows of ``sets`` (id, tok; distinct)."""
-    of_token = Window.partitionBy("tok")
-    with_df = sets.withColumn("df", F.count("*").over(of_token))
+def similar_sets(sets: DataFrame, share: float = 0.5, hot: DataFrame | None = None) -> SetJoin:
+    """Pairs among the rows of ``sets`` (id, tok; distinct). hot: (key) of tokens known to stand in very many sets; found here if not given."""
+    with_df = with_key_counts(sets, "tok", heavy_keys(sets, "tok", HOT_SHARE) if hot is None else hot)
     base = materialise(
         # A token held by one record can't be common to two: only its number counts, so it is folded into one row.
         with_df.groupBy("id", F.when(F.col("df") > 1, F.col("tok")).alias("tok"), "df").agg(F.count("*").alias("k"), F.bit_xor("tok").alias("x"), F.bit_xor(F.xxhash64("tok")).alias("y")),
         "sets",
     )
-    prints = base.groupBy("id").agg(F.sum("k").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-    same = Window.partitionBy("n", "x", "y")
-    members = materialise(prints.select("id", F.min("id").over(same).alias("rep"), "n"), "members")
+    marks = materialise(base.groupBy("id").agg(F.sum("k").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")), "marks")
+    classes = marks.groupBy("n", "x", "y").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
+    members = materialise(join_counted(marks, classes, ["n", "x", "y"], "size").select("id", "rep", "n"), "members")
     others = members.where("id != rep").select("id")
     reps = base.join(others, "id", "left_anti")
 
-    # Prefix of each record from its counts per frequency.
+    # Place of each frequency in each record, and the record's prefix, from its counts per frequency.
     by_df = reps.groupBy("id", "df").agg(F.sum("k").alias("k"))
     up = Window.partitionBy("id").orderBy("df")
     total = Window.partitionBy("id")
-    bounds = (
-        by_df.select("id", "df", F.sum("k").over(up).alias("upto"), F.sum("k").over(total).alias("n"))
-        .withColumn("t", F.ceil(F.col("n") * F.lit(share)))
-        .withColumn("want", F.least(F.col("n"), F.col("n") - F.col("t") + F.ceil(F.col("t") / 2)))
-        .where("upto >= want")
-        .groupBy("id")
-        .agg(F.min_by(F.struct("df", "upto"), "df").alias("cut"), F.max("n").alias("n"), F.max("t").alias("t"))
-        .select("id", "n", "t", F.col("cut.df").alias("cut"), (F.col("t") - (F.col("n") - F.col("cut.upto"))).alias("need"))
-    )
+    places = by_df.select("id", "df", "k", F.sum("k").over(up).alias("upto"), F.sum("k").over(total).alias("n")).withColumn("t", F.ceil(F.col("n") * F.lit(share)))
+    want = F.least(F.col("n"), F.col("n") - F.col("t") + F.ceil(F.col("t") / 2))
+    # The prefix ends with the first frequency that reaches the wanted length.
+    last = F.min(F.when(F.col("upto") >= want, F.col("upto"))).over(total)
+    places = places.withColumn("last", last).select("id", "df", "n", "t", (F.col("upto") - F.col("k")).alias("before"), (F.col("upto") <= F.col("last")).alias("prefix"), (F.col("t") - (F.col("n") - F.col("last"))).alias("need"))
     held = reps.where("tok is not null").select("id", "tok", "df")
-    sized = materialise(held.join(bounds, "id"), "sized")
+    sized = materialise(held.join(places, ["id", "df"]), "sized")
 
-    a = sized.where("df <= cut").select(F.col("id").alias("a"), "tok", F.col("n").alias("na"), "need")
-    b = sized.select(F.col("id").alias("b"), "tok", F.col("n").alias("nb"))
+    a = sized.where("prefix").select(F.col("id").alias("a"), "tok", F.col("n").alias("na"), "t", "need", F.col("before").alias("pa"))
+    b = sized.select(F.col("id").alias("b"), "tok", F.col("n").alias("nb"), F.col("before").alias("pb"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    placed = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.col("t")
     candidates = (
         a.join(b, "tok")
-        .where(ordered)
+        .where(ordered & placed)
         .groupBy("a", "b")
         .agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         .where("c >= need")
     )
     candidates = materialise(candidates.select("a", "b", "c", "na", "nb"), "candidates")
-    rest = sized.where("df > cut").select(F.col("id").alias("a"), "tok")
+    rest = sized.where("not prefix").select(F.col("id").alias("a"), "tok")
     beyond = (
         candidates.select("a", "b")
         .join(rest, "a")
@@ -130,4 +130,5 @@ def link_counts(join: SetJoin) -> DataFrame:
 
 def repository_pairs(prints: DataFrame, boiler: DataFrame, share: float = 0.5) -> SetJoin:
     """The join over repositories as sets of print hashes without the listed boilerplate."""
-    return similar_sets(distinct_sets(prints, "repo", "hash", boiler.select("hash")), share)
+    hot = heavy_keys(prints.where("repo is not null"), "hash", HOT_SHARE)
+    return similar_sets(distinct_sets(prints, "repo", "hash", boiler.select("hash")), share, hot)

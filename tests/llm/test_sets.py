@@ -121,16 +121,41 @@ def test_terms_by_deltas(spark, tmp_path):
     schema = "hash long, repo long, pos int, term string"
     before = [(1, 1, 1, "z"), (1, 1, 1, "z"), (1, 1, 2, "z"), (2, 1, 3, "z"), (2, 2, 1, "z"), (None, 2, 1, "z"), (3, None, 1, "z"), (9, 4, 1, "z")]
     after = [(1, 2, 1, "z"), (1, 2, 5, "z"), (2, 2, 1, "z"), (7, 3, 1, "z")]  # repository 2 changed, 3 came, 4 went
-    terms = lambda rows: termstats.record_terms(spark.createDataFrame(rows, schema).drop("term") if not rows else spark.createDataFrame(rows, schema), "hash", "repo", ["pos"])
+    terms = lambda rows: termstats.record_terms(spark.createDataFrame(rows, schema), "hash", "repo", "term", ["pos"])
     table = termstats.TermTable(spark, str(tmp_path / "terms"))
     table.build(terms(before))
     assert {tuple(r) for r in table.counts().collect()} == {(1, 2, 1), (2, 2, 2), (9, 1, 1)}
     table.update(terms([r for r in before if r[1] in (2, 4)]), terms(after))
     assert {tuple(r) for r in table.counts().collect()} == {(1, 4, 2), (2, 2, 2), (7, 1, 1)}
     table.update(terms(before[:1]), terms(before[:1]))
+    table.update(None, terms([]))
     assert {tuple(r) for r in table.counts().collect()} == {(1, 4, 2), (2, 2, 2), (7, 1, 1)}
 
 
+def test_small_deltas_rewrite_nothing(spark, tmp_path):
+    terms = lambda rows: spark.createDataFrame(rows, "term long, record long, k long")
+    table = termstats.TermTable(spark, str(tmp_path / "t"), parts=8)
+    table.build(terms([(t, 1, 2) for t in range(400)]))
+    before = {str(p) for p in (tmp_path / "t").rglob("*.parquet")}
+    table.update(None, terms([(5, 2, 3), (1000, 2, 1)]))
+    after = {str(p) for p in (tmp_path / "t").rglob("*.parquet")}
+    assert before < after and len({p.split("part=")[1].split("/")[0] for p in after - before}) <= 2
+    table.update(terms([(t, 1, 2) for t in range(390)]), None)  # most terms go, which is worth a merge
+    assert {tuple(r) for r in table.counts().collect()} == {(5, 3, 1), (1000, 1, 1)} | {(t, 2, 1) for t in range(390, 400)}
+    assert table.merge(0.5) == [] and table.read().where("not merged").count() == 0
+
+
+def test_batches_equal_a_recount(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 40), rng.randint(1, 12), rng.randint(1, 3)) for _ in range(300)]
+    rows = list({(t, r): (t, r, k) for t, r, k in rows}.values())
+    terms = spark.createDataFrame(rows, "term long, record long, k long")
+    batches = spark.createDataFrame([(r, b) for r, b in ((1, 0), (2, 0), (3, 1), (3, 4), (4, 2), (5, 4), (None, 1), (6, None), (99, 3))], "record long, batch int")
+    got = {tuple(r) for r in termstats.by_batches(terms, batches, termstats.TermTable(spark, str(tmp_path / "b"), 4)).counts().collect()}
+    assert got == {(t, sum(k for x, _, k in rows if x == t), sum(x == t for x, _, _ in rows)) for t in {x for x, _, _ in rows}}
+    assert termstats.by_batches(terms.limit(0), batches.limit(0), termstats.TermTable(spark, str(tmp_path / "e"), 4)).counts().count() == 0
+
+
 def test_marks(spark):
     state = spark.createDataFrame([(1, 9, 5), (2, 9, 4), (3, 2, 1)], "term long, n_rows long, n_records long")
     total = spark.createDataFrame([(20,)], "total long")
