@@ -75,7 +75,12 @@ def draw(df: DataFrame, cols: list[str], seed: int, n: int) -> DataFrame:
 
 def sampled_pairs(members: DataFrame, seed: int, n_members: int, n_pairs: int) -> DataFrame:
     """(a, b), a < b: a fixed sample of pairs among a fixed sample of members (repo)."""
-    m = draw(members.select("repo"), ["repo"], seed, n_members)
+    return pairs_of(draw(members.select("repo"), ["repo"], seed, n_members), seed, n_pairs)
+
+
+def pairs_of(members: DataFrame, seed: int, n_pairs: int) -> DataFrame:
+    """(a, b), a < b: a fixed sample of the pairs among ``members`` (repo), a sample itself."""
+    m = members.select("repo")
     pairs = m.select(F.col("repo").alias("a"), F.lit(1).alias("one")).join(m.select(F.col("repo").alias("b"), F.lit(1).alias("one")), "one").where("a < b").select("a", "b")
     return draw(pairs, ["a", "b"], seed, n_pairs)
 

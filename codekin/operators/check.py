@@ -33,9 +33,14 @@ def scores(subs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     return s.select("sub", "repo", "shared", (F.col("shared") / F.least("n_sub", "n")).alias("containment"))
 
 
-def with_z(scored: DataFrame, null: DataFrame) -> DataFrame:
-    """Adds z and p99 from a one-row null distribution (mean, stdev, p99)."""
-    one = null.select(F.col("mean").alias("m"), F.col("stdev").alias("s"), "p99")
+def with_z(scored: DataFrame, null: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """Adds z and p99 from a one-row null distribution (n, mean, stdev, p99); where that counts no repository, from the row of ``baseline`` (pairs, mean, stdev, max) with its max as p99."""
+    one = null.select(F.col("mean").alias("m"), F.col("stdev").alias("s"), "p99", (F.col("n") if "n" in null.columns else F.lit(1)).alias("n"))
+    if baseline is not None:
+        one = one.crossJoin(F.broadcast(baseline.select(F.col("mean").alias("bm"), F.col("stdev").alias("bs"), F.col("max").alias("bx"))))  # one row each
+        given = F.col("n") > 0
+        one = one.select(*[F.when(given, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("m", "bm"), ("s", "bs"), ("p99", "bx"))])
+    one = one.select("m", "s", "p99")
     return scored.crossJoin(F.broadcast(one)).withColumn("z", zscore(F.col("containment"), F.col("m"), F.col("s"))).drop("m", "s")
 
 

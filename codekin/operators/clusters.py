@@ -10,9 +10,10 @@ of no cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codekin.operators.hotkeys import join_counted
 from codekin.scratch import discard, materialise
 
 
@@ -50,6 +51,7 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
 def old_against_new(clusters: DataFrame, repos: DataFrame) -> DataFrame:
     """(repo, cluster, old_members): how many of the old run's cluster mates a repository still has."""
     old = repos.select(F.col("id").alias("repo"), F.col("cluster").alias("old_cluster"))
-    both = clusters.select("repo", "cluster").join(old, "repo")
-    w = Window.partitionBy("cluster", "old_cluster")
-    return both.select("repo", "cluster", F.when(F.col("old_cluster").isNotNull(), F.count("*").over(w)).otherwise(0).alias("old_members"))
+    both = materialise(clusters.select("repo", "cluster").join(old, "repo"), "drift")
+    known = both.where("old_cluster is not null")
+    counted = join_counted(known, known.groupBy("cluster", "old_cluster").agg(F.count("*").alias("old_members")), ["cluster", "old_cluster"], "old_members")
+    return counted.select("repo", "cluster", "old_members").unionByName(both.where("old_cluster is null").select("repo", "cluster", F.lit(0).cast("long").alias("old_members")))

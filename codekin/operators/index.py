@@ -4,7 +4,8 @@ Pairs come from an inverted index whose buckets above ``cap`` repositories are l
 boilerplate) unless ``whole`` is asked for, while the containment counts the full intersection. The capped part is counted in the pair join itself;
 hashes of larger buckets are few and are added for pairs that can still reach the asked containment.
 
-Skew: (repo, hash) is made unique with combining before any join, a bucket in the join holds at most ``cap`` rows.
+Skew: (repo, hash) is made unique with combining before any join, a hash of very many repositories is never gathered to be
+counted, a bucket in the join holds at most ``cap`` rows.
 
 Defined results: null hashes and repositories are left aside, repeated prints count once, sets without clean prints
 have no pairs.
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codekin.operators.hotkeys import HOT_SHARE, heavy_keys, with_key_counts
 from codekin.scratch import materialise
 
 CAP = 200
@@ -58,7 +60,7 @@ class Buckets:
 
 def buckets(sets: DataFrame, cap: int = CAP) -> Buckets:
     """Bucket sizes by one shuffle on the hash; what can't pair is folded into counts at once."""
-    df = sets.withColumn("df", F.count("*").over(Window.partitionBy("hash")))
+    df = with_key_counts(sets, "hash", heavy_keys(sets, "hash", HOT_SHARE))
     held = materialise(df.groupBy("repo", F.when(F.col("df") > 1, F.col("hash")).alias("hash"), "df").agg(F.count("*").alias("k")), "buckets")
     sizes = materialise(held.groupBy("repo").agg(F.sum("k").alias("n"), F.count_if(F.col("df") > cap).alias("wide")), "sizes")
     narrow = held.where((F.col("df") > 1) & (F.col("df") <= cap)).select("repo", "hash")

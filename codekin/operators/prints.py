@@ -62,11 +62,14 @@ def _gram_rows(tokens: DataFrame, k: int, reach: int, block: int) -> DataFrame:
     return _computed(b.withColumn("grams", grams).drop("words", "g"), "grams")
 
 
-def kgrams(sources: DataFrame, k: int, channel: str = "abstract", block: int = BLOCK) -> DataFrame:
-    """(repo, pos, hash): every k-gram of every stream."""
-    b = _gram_rows(file_tokens(sources, channel), k, k - 1, block)
-    rows = b.select("repo", "begin", F.explode("grams").alias("m"))
-    return rows.select("repo", F.col("m.p").alias("pos"), F.col("m.h").alias("hash")).where((F.col("pos") >= F.col("begin")) & (F.col("pos") < F.col("begin") + block))
+def kgrams(sources: DataFrame, k: int, channel: str = "abstract", block: int = BLOCK, neighbours: bool = False) -> DataFrame:
+    """(repo, pos, hash) of every k-gram of every stream; with ``neighbours`` also prev and next, the hashes before and after it, or -1 and -2."""
+    b = _gram_rows(file_tokens(sources, channel), k, k if neighbours else k - 1, block)
+    if neighbours:
+        beside = lambda m, i: F.struct(m["h"].alias("h"), m["p"].alias("p"), F.coalesce(F.get("grams", i - 1)["h"], F.lit(-1)).alias("before"), F.coalesce(F.get("grams", i + 1)["h"], F.lit(-2)).alias("after"))
+        b = _computed(b.select("repo", "begin", F.transform("grams", beside).alias("grams")), "grams")
+    rows = b.select("repo", "begin", F.explode("grams").alias("m")).where((F.col("m.p") >= F.col("begin")) & (F.col("m.p") < F.col("begin") + block))
+    return rows.select("repo", F.col("m.p").alias("pos"), F.col("m.h").alias("hash"), *([F.col("m.before").alias("prev"), F.col("m.after").alias("next")] if neighbours else []))
 
 
 def winnow(sources: DataFrame, k: int, w: int, channel: str = "abstract", block: int = BLOCK) -> DataFrame:

@@ -17,8 +17,12 @@ K = 12
 
 
 def _with_neighbours(grams: DataFrame) -> DataFrame:
-    w = Window.partitionBy("repo").orderBy("pos")
-    return grams.withColumns({"prev": F.coalesce(F.lag("hash").over(w), F.lit(-1)), "next": F.coalesce(F.lead("hash").over(w), F.lit(-2))})
+    """Adds prev and next where ``grams`` lacks them: grams of neighbouring positions meet in a join, so no stream is gathered."""
+    if "prev" in grams.columns:
+        return grams
+    beside = lambda shift, name: grams.select("repo", (F.col("pos") + shift).alias("pos"), F.col("hash").alias(name))
+    both = grams.join(beside(1, "prev"), ["repo", "pos"], "left").join(beside(-1, "next"), ["repo", "pos"], "left")
+    return both.withColumns({"prev": F.coalesce("prev", F.lit(-1)), "next": F.coalesce("next", F.lit(-2))})
 
 
 def _ends(pairs: DataFrame, grams: DataFrame, side: str, none: int) -> DataFrame:
@@ -34,7 +38,7 @@ def _ends(pairs: DataFrame, grams: DataFrame, side: str, none: int) -> DataFrame
 
 
 def maximal_runs(pairs: DataFrame, grams: DataFrame, least: int = 20, k: int = K) -> DataFrame:
-    """(a, b, i, j, tokens): runs of ``least`` tokens or more; grams: (repo, pos, hash) of every k-gram, dense in pos."""
+    """(a, b, i, j, tokens): runs of ``least`` tokens or more; grams: (repo, pos, hash) of every k-gram, dense in pos, with prev and next if at hand."""
     g = _with_neighbours(grams.join(pairs.select(F.col("a").alias("repo")).unionByName(pairs.select(F.col("b").alias("repo"))).distinct(), "repo", "left_semi"))
     starts = _ends(pairs, g, "prev", -1).withColumn("end", F.lit(0))
     ends = _ends(pairs, g, "next", -2).withColumn("end", F.lit(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from codekin.functions.paths import NAMES, SUFFIXES
 from codekin.functions.tokens import CONTENT_TOKEN, CPP_KEYWORDS, CPP_TOKEN, DOCKER_WORDS, SHELL_WORDS
-from codekin.queries import EVENT_PARTS, EVERY, EXCLUDED, MODULE, RULES, WINDOW, K
+from codekin.queries import EVENT_PARTS, EVERY, EXCLUDED, MODULE, RULES, STREAM, WINDOW, K
 
 
 def _in(words: list[str]) -> str:
@@ -90,7 +90,8 @@ RANKED = f"""{NULL}, {SHARED},
     ve AS (SELECT *, CASE WHEN self_match THEN 'SELF' WHEN containment >= greatest(CAST(0.30 AS DOUBLE), CAST(2.5 AS DOUBLE) * p99) THEN 'HIGH' WHEN containment >= greatest(CAST(0.18 AS DOUBLE), CAST(1.5 AS DOUBLE) * p99) THEN 'MEDIUM' WHEN containment >= p99 THEN 'LOW' ELSE 'NORMAL' END AS verdict FROM sv),
     rk AS (SELECT *, row_number() OVER (PARTITION BY sub ORDER BY containment DESC, repo) AS rank FROM ve)"""
 NAMED_TOKENS = TOKENS.replace("FROM source_files WHERE", "FROM (SELECT repo.id AS repo, relpath, text FROM source_files s JOIN repo ON repo.name = s.repo) WHERE")
-RUNS = f"""{EDGES}, cp AS (SELECT a, b FROM ed WHERE a % {EVERY} = 0 OR b % {EVERY} = 0), {NAMED_TOKENS}, {_grams(12)},
+PAIRED_TOKENS = NAMED_TOKENS.replace("ON repo.name = s.repo)", "ON repo.name = s.repo WHERE repo.id IN (SELECT a FROM cp UNION SELECT b FROM cp))")
+RUNS = f"""{EDGES}, cp AS MATERIALIZED (SELECT a, b FROM ed WHERE a % {EVERY} = 0 OR b % {EVERY} = 0), {PAIRED_TOKENS}, {_grams(12)},
     se AS (SELECT a, b, x.pos AS i, y.pos AS j FROM cp JOIN g x ON x.repo = a JOIN g y ON y.repo = b AND y.hash = x.hash),
     ru AS (SELECT a, b, min(i) AS i, min(j) AS j, count(*) + 11 AS tokens FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS isl FROM se) q GROUP BY a, b, i - j, isl),
     rr AS (SELECT * FROM ru WHERE tokens >= 20),
@@ -168,14 +169,15 @@ def sql() -> dict[str, str]:
             rl AS (SELECT rd.*, string_split(text, chr(10)) AS ls FROM rd JOIN f ON f.repo = rd.repo AND f.relpath = rd.file),
             rn AS (SELECT repo, file, start_line, end_line, unnest(ls) AS text, generate_subscripts(ls, 1) AS line FROM rl)
             SELECT repo, file, start_line AS start, end_line AS "end", line, text, line BETWEEN start_line AND end_line AS marked FROM rn WHERE line BETWEEN start_line - 3 AND end_line + 3""",
-        "run_null_stats": f"""WITH {NAMED_TOKENS}, {_grams(12)}, ln AS (SELECT repo, count(*) AS n FROM st GROUP BY repo HAVING count(*) > 100),
-            sm AS (SELECT repo FROM ln ORDER BY md5('42|' || repo), repo LIMIT 90),
-            pq AS (SELECT x.repo AS a, y.repo AS b FROM sm x, sm y WHERE x.repo < y.repo ORDER BY md5('42|' || x.repo || '|' || y.repo), 1, 2 LIMIT 400),
+        "run_null_stats": f"""WITH RECURSIVE {CLUSTERS}, {NAMED_TOKENS}, {_grams(12)}, rp AS MATERIALIZED (SELECT repo FROM ck WHERE r = 1 AND repo IN (SELECT repo FROM st)),
+            sm AS (SELECT repo FROM rp ORDER BY md5('42|' || repo), repo LIMIT 90),
+            ln AS (SELECT repo FROM st WHERE repo IN (SELECT repo FROM sm) GROUP BY repo HAVING count(*) > {STREAM}),
+            pq AS (SELECT x.repo AS a, y.repo AS b FROM ln x, ln y WHERE x.repo < y.repo ORDER BY md5('42|' || x.repo || '|' || y.repo), 1, 2 LIMIT 400),
             se AS (SELECT a, b, x.pos AS i, y.pos AS j FROM pq JOIN g x ON x.repo = a JOIN g y ON y.repo = b AND y.hash = x.hash),
             ru AS (SELECT a, b, count(*) + 11 AS tokens FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS isl FROM se) q GROUP BY a, b, i - j, isl),
             lo AS (SELECT pq.a, pq.b, coalesce(max(tokens), 0) AS longest FROM pq LEFT JOIN ru ON ru.a = pq.a AND ru.b = pq.b GROUP BY pq.a, pq.b),
             lr AS (SELECT longest, row_number() OVER (ORDER BY longest) - 1 AS i, count(*) OVER () AS n FROM lo),
-            ou AS (SELECT count(*) AS pairs, CAST(max(longest) AS DOUBLE) AS max, {_pick('lr', 'longest', '0.5')} AS median, {_pick('lr', 'longest', '0.95')} AS p95, {_pick('lr', 'longest', '0.99')} AS p99, {_pick('lr', 'longest', '(SELECT 1 - CAST(1 AS DOUBLE) / greatest(count(*), 2) FROM repo)')} AS expected_top FROM lo)
+            ou AS (SELECT count(*) AS pairs, CAST(max(longest) AS DOUBLE) AS max, {_pick('lr', 'longest', '0.5')} AS median, {_pick('lr', 'longest', '0.95')} AS p95, {_pick('lr', 'longest', '0.99')} AS p99, {_pick('lr', 'longest', '(SELECT 1 - CAST(1 AS DOUBLE) / greatest(count(*), 2) FROM rp)')} AS expected_top FROM lo)
             SELECT *, CAST(least(greatest(floor(expected_top * CAST(1.2 AS DOUBLE)), 250), greatest(floor(p99 * 2), 400)) AS BIGINT) AS threshold FROM ou""",
         "verify_lines": f"WITH {TEXTS} SELECT repo, count(*) AS files, CAST(sum(coalesce(length(text) - length(replace(text, chr(10), '')), 0)) AS BIGINT) AS lines FROM tx GROUP BY repo",
         "verify_hits": f"WITH {TEXTS}, h AS (" + " UNION ALL ".join(rf"SELECT repo, '{w}' AS word FROM tx WHERE regexp_matches(text, '\b{w}\b')" for w in WORDS) + ") SELECT repo, word, count(*) AS files FROM h GROUP BY repo, word",

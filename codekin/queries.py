@@ -9,10 +9,12 @@ from codekin.functions.paths import language_of, selected
 from codekin.functions.tokens import evidence_texts, normal_type, strip_cpp
 from codekin.operators import calibrate, check, clusters, discover, evidence as channel_evidence, hotkeys, index, locate, prints, runs, structure, verify
 from codekin.plans import report
-from codekin.scratch import materialise
+from codekin.scratch import kept, materialise
 from codekin.sources.tables import table
 
 K, WINDOW = 25, 8
+# The tables hold heads of files only: streams, shapes and signatures are shorter than in whole files, for scores and nulls alike.
+STREAM, NODES, WEIGHT = 100, 8, 2
 EVERY = 50  # submissions are the repositories whose id this divides
 RULES = verify.Rules(min_files=3, min_lines=40, reject=["generated report"], required=["Server", "Client", "Channel", "Message", "Command"], required_threshold=1, required_weight=4, optional=["vector", "map", "string"], optional_weight=1, min_score=5)
 MODULE = locate.Module(patterns=[r"(^|/)ex0[0-9](/|$)", r"(^|/)Modules(/|$)", r"(^|/)srcs?(/|$)"], required=["Form", "Bureaucrat", "Intern", "Server", "Client", "Channel"], optional=["Parser", "Message"], forbidden=["Zombie"], threshold=1, min_files=2)
@@ -114,8 +116,13 @@ def boilerplate(spark: SparkSession, d: str) -> DataFrame:
     return index.boilerplate(table(spark, d, "print"), table(spark, d, "repo"))
 
 
+def _stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A table of the index over ``d``: built once, as an index is, and read by every query after that."""
+    return kept(spark, [f"{d}/print.parquet", f"{d}/repo.parquet"], name, build)
+
+
 def _clean(spark: SparkSession, d: str) -> DataFrame:
-    return index.clean_sets(table(spark, d, "print"), boilerplate(spark, d))
+    return _stored(spark, d, "clean", lambda: index.clean_sets(table(spark, d, "print"), boilerplate(spark, d)))
 
 
 def clean_set_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +134,7 @@ def co_occurrence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
-    return index.similarity_edges(_clean(spark, d))
+    return _stored(spark, d, "edges", lambda: index.similarity_edges(_clean(spark, d)))
 
 
 def whole_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -135,42 +142,39 @@ def whole_edges(spark: SparkSession, d: str) -> DataFrame:
     return index.similarity_edges(_clean(spark, d), whole=True)
 
 
-def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    clean = materialise(_clean(spark, d), "clean")
-    return clean, materialise(clusters.representatives(index.set_sizes(clean), index.similarity_edges(clean)), "clustered")
-
-
 def cluster_members(spark: SparkSession, d: str) -> DataFrame:
-    return _clustered(spark, d)[1]
+    return _stored(spark, d, "clustered", lambda: clusters.representatives(index.set_sizes(_clean(spark, d)), similarity_edges(spark, d)))
 
 
 def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.cluster_sizes(_clustered(spark, d)[1])
+    return clusters.cluster_sizes(cluster_members(spark, d))
 
 
 def cluster_drift(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.old_against_new(_clustered(spark, d)[1], table(spark, d, "repo"))
+    return clusters.old_against_new(cluster_members(spark, d), table(spark, d, "repo"))
 
 
 # ---- calibration
 
 
-def _representative_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    clean, c = _clustered(spark, d)
-    reps = c.where("representative = 1").select("repo")
-    return index.pair_containment(index.buckets(clean.join(reps, "repo", "left_semi"))), reps
+def _representatives(spark: SparkSession, d: str) -> DataFrame:
+    return cluster_members(spark, d).where("representative = 1").select("repo")
+
+
+def _representative_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d, "pairs", lambda: index.pair_containment(index.buckets(_clean(spark, d).join(_representatives(spark, d), "repo", "left_semi"))))
 
 
 def baseline_stats(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.baseline_stats(materialise(_representative_pairs(spark, d)[0], "pairs"))
+    return _stored(spark, d, "baseline", lambda: calibrate.baseline_stats(_representative_pairs(spark, d)))
 
 
 def top_match_null(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.top_match(*_representative_pairs(spark, d))
+    return _stored(spark, d, "best", lambda: calibrate.top_match(_representative_pairs(spark, d), _representatives(spark, d)))
 
 
 def top_match_stats(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.top_match_stats(materialise(top_match_null(spark, d), "best"))
+    return _stored(spark, d, "null", lambda: calibrate.top_match_stats(top_match_null(spark, d)))
 
 
 # ---- submissions against the corpus
@@ -187,11 +191,11 @@ def check_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    clean = materialise(_clean(spark, d), "clean")
+    clean = _clean(spark, d)
     scored = check.scores(_subs(clean), clean, index.set_sizes(clean))
     owners = table(spark, d, "repo").select(F.col("id").alias("repo"), "owner")
     handles = owners.where(F.col("repo") % EVERY == 0).select(F.col("repo").alias("sub"), F.array(F.upper("owner")).alias("handles"))
-    scored = check.with_z(scored, top_match_stats(spark, d)).join(owners, "repo", "left").join(handles, "sub", "left")
+    scored = check.with_z(scored, top_match_stats(spark, d), baseline_stats(spark, d)).join(owners, "repo", "left").join(handles, "sub", "left")
     scored = scored.withColumn("self_match", check.self_match(F.col("owner"), F.col("handles"))).drop("handles", "owner")
     return scored.withColumn("verdict", check.band(scored.columns))
 
@@ -211,8 +215,8 @@ def check_evidence_gate(spark: SparkSession, d: str) -> DataFrame:
 def check_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """The best matches with the verdict over all channels; the other check queries stop at containment, as their SQL does."""
     named = materialise(_named(spark, d), "named")
-    null = channel_evidence.ceilings(named, table(spark, d, "repo").count())
-    out = channel_evidence.judged(check.top_matches(_ranked(spark, d)), named.where(F.col("repo") % EVERY == 0), named, null)
+    null = _stored(spark, d, "ceilings", lambda: channel_evidence.ceilings(named, _representatives(spark, d), STREAM, NODES, WEIGHT))
+    out = channel_evidence.judged(check.top_matches(_ranked(spark, d)), named.where(F.col("repo") % EVERY == 0), named, null, NODES, WEIGHT)
     return out.select("sub", "repo", "rank", "containment", "longest", "ast_n", "ast_frac", "sig_n", "sig_frac", "verdict")
 
 
@@ -234,7 +238,7 @@ def _close_pairs(spark: SparkSession, d: str) -> DataFrame:
 def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = materialise(_close_pairs(spark, d), "close")
     s = _named(spark, d, pairs)
-    return pairs, materialise(runs.maximal_runs(pairs, prints.kgrams(s, runs.K)), "runs"), s
+    return pairs, materialise(runs.maximal_runs(pairs, prints.kgrams(s, runs.K, neighbours=True)), "runs"), s
 
 
 def longest_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +263,7 @@ def evidence_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_null_stats(spark: SparkSession, d: str) -> DataFrame:
-    return channel_evidence.run_null(_named(spark, d), table(spark, d, "repo").count())
+    return channel_evidence.run_null(_named(spark, d), _representatives(spark, d), STREAM)
 
 
 # ---- verification and location
@@ -366,19 +370,19 @@ def type_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shape_scores(spark: SparkSession, d: str) -> DataFrame:
-    return structure.channel_scores(materialise(structure.function_shapes(_named(spark, d)), "shapes").withColumn("repo", F.col("repo").cast("long")), _close_pairs(spark, d), False)
+    return structure.channel_scores(materialise(structure.function_shapes(_named(spark, d), NODES), "shapes").withColumn("repo", F.col("repo").cast("long")), _close_pairs(spark, d), False)
 
 
 def signature_scores(spark: SparkSession, d: str) -> DataFrame:
-    return structure.channel_scores(materialise(structure.type_signatures(_named(spark, d)), "signatures").withColumn("repo", F.col("repo").cast("long")), _close_pairs(spark, d), True)
+    return structure.channel_scores(materialise(structure.type_signatures(_named(spark, d), WEIGHT), "signatures").withColumn("repo", F.col("repo").cast("long")), _close_pairs(spark, d), True)
 
 
 def shape_matches(spark: SparkSession, d: str) -> DataFrame:
-    return structure.shape_matches(materialise(structure.function_shapes(_named(spark, d)), "shapes").withColumn("repo", F.col("repo").cast("long")), _close_pairs(spark, d))
+    return structure.shape_matches(materialise(structure.function_shapes(_named(spark, d), NODES), "shapes").withColumn("repo", F.col("repo").cast("long")), _close_pairs(spark, d))
 
 
 def channel_nulls(spark: SparkSession, d: str) -> DataFrame:
-    return channel_evidence.channel_null(_named(spark, d))[1]
+    return channel_evidence.channel_null(channel_evidence.cpp_only(_named(spark, d)), _representatives(spark, d), NODES, WEIGHT)[1]
 
 
 def queries() -> dict:

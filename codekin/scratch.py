@@ -41,6 +41,32 @@ def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     return back
 
 
+_KEPT: dict[tuple, tuple] = {}
+
+
+def _file(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def kept(spark: SparkSession, inputs: list[str], name: str, build) -> DataFrame:
+    """The table that ``build`` gives, written on first use; later calls of this application read it while the ``inputs`` (paths) keep their size and time."""
+    state = []
+    for p in inputs:
+        jpath, fs = _file(spark, p)
+        status = fs.getFileStatus(jpath)
+        state.append((p, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, tuple(state), name)
+    found = _KEPT.get(key)
+    if found:
+        jpath, fs = _file(spark, f"{found[0]}/_SUCCESS")
+        if fs.exists(jpath):
+            return spark.read.schema(found[1]).parquet(found[0])
+    df = materialise(build(), name)
+    _KEPT[key] = (df._scratch_path, df.schema)
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialised table that no later plan reads."""
     path = getattr(df, "_scratch_path", None)
