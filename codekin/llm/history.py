@@ -4,32 +4,40 @@ Content: a repository is its set of hashes; the metric is the size of the symmet
 2 |A n B|. Two sets match when they share half of the smaller one, that is when d(A, B) <= max(|A|, |B|).
 
 Pivots: the members of a batch are dealt to pivots of about ``PER_PIVOT`` members; a pivot P is the union of its members'
-sets and the set C of common hashes, and stays as it is ever after. A member lies at d(A, P) = |P| - |A|; a probe at
-d(B, P) = |B| + |P| - 2 (|B n C| + r), r being the number of its rarer hashes in P, which a join of the probe's hashes
-with the pivots' hashes counts. By the triangle inequality d(A, B) >= d(B, P) - d(A, P), so a member can match only if
-min(|A|, |B|) <= 2 (|B n C| + r): a range of stored distances per (probe, pivot), found in a join on the pivot with a
-range condition. A second bound comes from the distance to C: |A n B| <= min(|A n C|, |B n C|) + r. Survivors are
-verified by exact overlap. Members that share no rarer hash with the probe (r = 0) can match only if the smaller set
-consists by half of common hashes; those sets probe with the few rarest common hashes that such a match needs.
-
-New rows append their own pivots; nothing older is rewritten. ``HistoryIndex`` keeps the tables in a folder;
-``match_all`` does the same for all batches at once, each batch being a set of pivots.
+sets and the set C of common hashes, and stays as it is ever after. The table of members holds the distance d(A, P) = |P|
+- |A| and is range-partitioned by pivot and distance. A probe lies at d(B, P) = |B| + |P| - 2 (|B n C| + r), r being the
+number of its rarer hashes in P. By the triangle inequality d(A, B) >= d(B, P) - d(A, P), so a member can match only if
+its stored distance lies in a range: all of the pivot where |B| <= 2 (|B n C| + r), else from |P| - 2 (|B n C| + r) on.
+A second bound comes from the distance to C: |A n B| <= min(|A n C|, |B n C|) + r. Survivors are verified by exact
+overlap. Members that share no rarer hash with the probe (r = 0) can match only if the smaller set consists by half of
+common hashes; those sets probe with the few rarest common hashes that such a match needs.
+
+A batch appends its own rows to every table; nothing older is rewritten or shuffled. The hashes of pivots are bucketed by
+hash, so only the batch's hashes are sent to them. Whole sets are stored in directories per batch and group of pivots, and
+only directories that hold a candidate are read to verify it; what a batch reads of whole sets doesn't grow with
+batches that have nothing in common with it.
 
 Skew: the hashes of a probe are counted per (probe, pivot) before the shuffle; a pivot holds about PER_PIVOT members
 however large the batch is; equal names or addresses are reduced to the lowest id per batch before they are joined.
 
 Defined results: null names, addresses and repositories match nothing; rows of one repository under several ids match
-by name or address only; "earlier" is lower batch, then lower id; rows with null id or batch are left aside.
+by name or address only; a repository that comes again is compared with what it held first; "earlier" is lower batch, then
+lower id; rows with null id or batch are left aside; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codekin.scratch import materialise
+from codekin.llm.setjoin import distinct_sets
+from codekin.scratch import discard, fresh_path, materialise
 
 PER_PIVOT = 64
+PER_GROUP = 64  # pivots
+BUCKETS = 32
 COMMON_SHARE = 0.002
 COMMON_LEAST = 32
 
@@ -61,129 +69,158 @@ def first_by_key(rows: DataFrame, key) -> DataFrame:
     return found.where("first_id is not null")
 
 
-def pivot_hashes(tokens: DataFrame, members: DataFrame) -> DataFrame:
-    """(pivot, tok, cnt): how many members of each pivot hold a rarer hash. tokens: (id, tok, common)."""
-    return tokens.where("not common").join(members.select("id", "pivot"), "id").groupBy("pivot", "tok").agg(F.count("*").alias("cnt"))
-
-
-def deal(sizes: DataFrame, n: int, batch: str) -> DataFrame:
-    """Members with their pivot: sizes (id, n, c) of one or several batches (column ``batch``); n members in the largest."""
-    return sizes.withColumn("pivot", F.concat_ws("-", F.col(batch).cast("string"), F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.lit(n) / PER_PIVOT))).cast("string")))
-
-
-def candidates(probes: DataFrame, probe_tokens: DataFrame, members: DataFrame, hashes: DataFrame, member_tokens: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(probe, id) pairs that the pivots can't rule out. probes, members: (id, n, c, pivot); ranks: (tok, df) of common hashes."""
-    own = probes.select(F.col("id").alias("probe"), "pivot").withColumn("own", F.lit(1))
-    rare = probe_tokens.where("not common").select(F.col("id").alias("probe"), "tok")
-    shared = (
-        rare.join(hashes, "tok")
-        .join(own, ["probe", "pivot"], "left")
-        .where(F.col("own").isNull() | (F.col("cnt") > 1))
-        .groupBy("probe", "pivot")
-        .agg(F.count("*").alias("r"))
-        .join(probes.select(F.col("id").alias("probe"), F.col("n").alias("pn"), F.col("c").alias("pc")), "probe")
-        .withColumn("reach", 2 * (F.col("pc") + F.col("r")))
-    )
-    by_pivot = shared.join(members.select("id", "pivot", "n", "c"), "pivot").where("id != probe").where((F.col("pn") <= F.col("reach")) | (F.col("n") <= F.col("reach")))
-    by_pivot = by_pivot.where(F.ceil(F.least("n", "pn") / 2) <= F.least("c", "pc") + F.col("r")).select("probe", "id")
-
-    # Pairs without a common rarer hash: the smaller set S needs n/2 of its c common hashes, so one of its c - n/2 + 1 rarest is shared.
-    def prefix(sets: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
-        heavy = sets.where("2 * c >= n").select("id", "n", (F.col("c") - F.ceil(F.col("n") / 2) + 1).alias("take"))
-        w = Window.partitionBy("id").orderBy("df", "tok")
-        t = tokens.where("common").join(heavy, "id").join(ranks, "tok").withColumn("i", F.row_number().over(w))
-        return t.where("i <= take").select(F.col("id").alias(name), "tok", F.col("n").alias(f"{name}_n"))
-
-    all_members = member_tokens.where("common").join(members.select("id", "n"), "id").select("id", "tok", "n")
-    all_probes = probe_tokens.where("common").join(probes.select("id", "n"), "id").select(F.col("id").alias("probe"), "tok", F.col("n").alias("probe_n"))
-    small_probe = prefix(probes, probe_tokens, "probe").join(all_members, "tok").where("probe_n <= n").select("probe", "id")
-    small_member = prefix(members, member_tokens, "id").join(all_probes, "tok").where("id_n <= probe_n").select("probe", "id")
-    return by_pivot.unionByName(small_probe).unionByName(small_member).where("probe != id").distinct()
-
-
-def verified(pairs: DataFrame, probe_tokens: DataFrame, member_tokens: DataFrame, probes: DataFrame, members: DataFrame) -> DataFrame:
-    """(probe, id) with d <= max(|A|, |B|) by exact overlap."""
-    pairs = materialise(pairs, "pairs")
-    a = probe_tokens.join(pairs.select(F.col("probe").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("probe"), "tok")
-    b = member_tokens.join(pairs.select("id").distinct(), "id", "left_semi").select("id", "tok")
-    overlap = pairs.join(a, "probe").join(b, ["id", "tok"]).groupBy("probe", "id").agg(F.count("*").alias("k"))
-    sized = overlap.join(probes.select(F.col("id").alias("probe"), F.col("n").alias("pn")), "probe").join(members.select("id", "n"), "id")
-    return sized.where(F.col("pn") + F.col("n") - 2 * F.col("k") <= F.greatest("pn", "n")).select("probe", "id")
-
-
-def match_all(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(probe, id): matching pairs of repositories where the probe has a row in batch 1 or later. sets: (id, tok), distinct."""
-    listed = materialise(rows.where("repo is not null and cand_id is not null and batch_no is not null").groupBy(F.col("repo").alias("id")).agg(F.min("batch_no").alias("batch"), F.max("batch_no").alias("last")), "listed")
-    n_listed = listed.count()
-    sets = sets.join(listed.select("id"), "id", "left_semi")
-    limit = max(COMMON_LEAST, int(COMMON_SHARE * n_listed))
-    with_df = sets.withColumn("df", F.count("*").over(Window.partitionBy("tok")))
-    # A hash of one repository only counts for its size.
-    base = materialise(with_df.groupBy("id", F.when(F.col("df") > 1, F.col("tok")).alias("tok"), "df").agg(F.count("*").alias("k")), "history")
-    tokens = base.where("tok is not null").select("id", "tok", (F.col("df") > limit).alias("common"))
-    ranks = base.where((F.col("df") > limit) & F.col("tok").isNotNull()).select("tok", "df").distinct()
-    sizes = base.groupBy("id").agg(F.sum("k").alias("n"), F.sum(F.when((F.col("df") > limit) & F.col("tok").isNotNull(), 1).otherwise(0)).alias("c"))
-    largest = listed.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
-    members = materialise(deal(sizes.join(listed, "id"), largest, "batch").select("id", "n", "c", "pivot", "last"), "members")
-    probes = members.where("last >= 1")
-    probe_tokens = tokens.join(probes.select("id"), "id", "left_semi")
-    hashes = pivot_hashes(tokens, members)
-    return verified(candidates(probes, probe_tokens, members, hashes, tokens, ranks), probe_tokens, tokens, probes, members)
+SCHEMAS = {
+    "common": "tok long, df long",
+    "tokens": "id long, tok long, common boolean, pivot long, batch int, part long",
+    "pivots": "pivot long, size long, batch int",
+    "members": "pivot long, distance long, id long, c long, batch int",
+    "heads": "tok long, id long, n long, batch int",
+}
+
+
+class HistoryIndex:
+    """The accepted sets, their pivots and distances in a folder; a batch reads what it meets and appends its own rows.
+
+    Tables: common (tok, df), fixed at the first batch; tokens (id, tok, common, pivot; directories by batch and group of
+    pivots); hashes (pivot, tok, cnt), bucketed by tok; pivots (pivot, size); members (pivot, distance, id, c);
+    heads (tok, id, n): the rarest common hashes of sets that consist by half of common ones.
+    """
+
+    def __init__(self, spark, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self.batches: list[int] = []
+        self.has_heads = False
+        self.read_parts: list[str] = []  # directories of whole sets that the last match has read
+        self.hashes = f"pivot_hashes_{uuid.uuid4().hex}"
+
+    def _read(self, name: str, batches: list[int] | None = None) -> DataFrame:
+        df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
+        return df if batches is None else df.where(F.col("batch").isin(batches))
+
+    def _append(self, df: DataFrame, name: str, batch: int, *by: str) -> None:
+        df.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch", *by).parquet(f"{self.folder}/{name}")
+
+    def accept(self, sets: DataFrame, batch: int) -> int:
+        """Append the sets (id, tok; distinct) of records that weren't accepted yet; how many records they are."""
+        sets = materialise(sets.select("id", "tok"), "batch")
+        n = sets.select("id").distinct().count()
+        if not self.batches:
+            limit = max(COMMON_LEAST, int(COMMON_SHARE * n))
+            sets.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") > limit).write.parquet(f"{self.folder}/common")
+        if not n and self.batches:
+            discard(sets)
+            return 0
+        common = self._read("common")
+        number = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // PER_PIVOT))))
+        tokens = sets.join(common.select("tok", F.lit(True).alias("common")), "tok", "left").select("id", "tok", F.coalesce("common", F.lit(False)).alias("common"), (number + F.lit(batch << 32)).alias("pivot"), F.floor(number / PER_GROUP).alias("part"))
+        self._append(tokens, "tokens", batch, "part")
+        discard(sets)
+        tokens = self._read("tokens", [batch])
+        # One shuffle by hash, in the buckets of the table.
+        rare = tokens.where("not common").repartition(self.buckets, "tok").groupBy("pivot", "tok").agg(F.count("*").alias("cnt"))
+        rare.write.mode("append" if self.batches else "overwrite").bucketBy(self.buckets, "tok").option("path", f"{self.folder}/hashes").saveAsTable(self.hashes)
+        n_common = common.count()
+        size = self.spark.table(self.hashes).where(F.shiftright("pivot", 32) == batch).groupBy("pivot").agg(F.count("*").alias("size"))
+        own = tokens.groupBy("id", "pivot").agg(F.count("*").alias("n"), F.count_if("common").alias("c"))
+        placed = materialise(own.join(size, "pivot", "left").withColumn("size", F.coalesce("size", F.lit(0)) + n_common), "placed")
+        self._append(placed.select("pivot", "size").distinct(), "pivots", batch)
+        self._append(placed.select("pivot", (F.col("size") - F.col("n")).alias("distance"), "id", "c").repartitionByRange("pivot", "distance").sortWithinPartitions("pivot", "distance"), "members", batch)
+        # S needs n/2 of its c common hashes to match by them alone, so one of its c - n/2 + 1 rarest is shared.
+        heavy = placed.where("2 * c >= n").select("id", "n", (F.col("c") - F.ceil(F.col("n") / 2) + 1).alias("take"))
+        place = F.row_number().over(Window.partitionBy("id").orderBy("df", "tok"))
+        heads = tokens.where("common").join(heavy, "id").join(common, "tok").withColumn("place", place).where("place <= take").select("tok", "id", "n")
+        self._append(heads, "heads", batch)
+        self.has_heads = self.has_heads or not self._read("heads", [batch]).isEmpty()
+        discard(placed)
+        self.batches.append(batch)
+        return n
+
+    def _sizes(self, batches: list[int]) -> DataFrame:
+        """(id, pivot, n, c) of accepted records; a set's size is its pivot's less its distance to it."""
+        pivots = self._read("pivots", batches).select("pivot", "size")
+        return self._read("members", batches).join(pivots, "pivot").select("id", "pivot", (F.col("size") - F.col("distance")).alias("n"), "c")
+
+    def candidates(self, probes: DataFrame, tokens: DataFrame) -> DataFrame:
+        """(probe, id, pivot) that the pivots can't rule out. probes: (id, n, c); tokens: (id, tok, common, pivot) of them."""
+        rare = tokens.where("not common").select(F.col("id").alias("probe"), "tok", F.col("pivot").alias("own"))
+        met = rare.join(self.spark.table(self.hashes), "tok").where((F.col("own") != F.col("pivot")) | (F.col("cnt") > 1))
+        near = met.groupBy("probe", "pivot").agg(F.count("*").alias("r")).join(probes.select(F.col("id").alias("probe"), F.col("n").alias("pn"), F.col("c").alias("pc")), "probe")
+        near = near.join(self._read("pivots").select("pivot", "size"), "pivot").withColumn("reach", 2 * (F.col("pc") + F.col("r")))
+        # The range of stored distances that the triangle inequality leaves to the pivot's members.
+        near = near.withColumn("low", F.when(F.col("pn") <= F.col("reach"), 0).otherwise(F.col("size") - F.col("reach")))
+        members = self._read("members").select("pivot", "distance", "id", "c")
+        found = near.join(members, "pivot").where((F.col("distance") >= F.col("low")) & (F.col("probe") != F.col("id")))
+        smaller = F.least("pn", F.col("size") - F.col("distance"))
+        out = found.where(F.ceil(smaller / 2) <= F.least("c", "pc") + F.col("r")).select("probe", "id", "pivot")
+        if self.has_heads:
+            everyone = self._sizes(self.batches)
+            common_of = lambda t, s: t.where("common").select("id", "tok", "pivot").join(s.select("id", "n"), "id")
+            heads = self._read("heads").select("tok", F.col("id").alias("small"), F.col("n").alias("small_n"))
+            asked = heads.join(probes.select(F.col("id").alias("small")), "small", "left_semi").join(common_of(self._read("tokens"), everyone), "tok").where("small_n <= n").select(F.col("small").alias("probe"), "id", "pivot")
+            old = heads.join(common_of(tokens, probes).select(F.col("id").alias("probe"), "tok", "n"), "tok").where("small_n <= n").select("probe", F.col("small").alias("id"))
+            out = out.unionByName(asked).unionByName(old.join(everyone.select("id", "pivot"), "id").select("probe", "id", "pivot"))
+        return out.where("probe != id").distinct()
+
+    def match(self, ids: DataFrame, batch: int) -> DataFrame:
+        """(probe, id): matches of accepted records (id) of ``batch`` among all accepted ones, those of the batch included."""
+        self.read_parts = []
+        asked = materialise(ids.select("id").distinct().join(self._sizes(self.batches), "id"), "asked")
+        mine = lambda df: df.join(asked.select("id"), "id", "left_semi")
+        probe_tokens = mine(self._sets(asked.select("pivot")))
+        pairs = materialise(self.candidates(asked, probe_tokens), "pairs")
+        member_tokens = self._sets(pairs.select("pivot"))
+        a = probe_tokens.join(pairs.select(F.col("probe").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("probe"), "tok")
+        b = member_tokens.join(pairs.select("id").distinct(), "id", "left_semi").select("id", "tok")
+        overlap = pairs.select("probe", "id").join(a, "probe").join(b, ["id", "tok"]).groupBy("probe", "id").agg(F.count("*").alias("k"))
+        sized = overlap.join(asked.select(F.col("id").alias("probe"), F.col("n").alias("pn")), "probe").join(self._sizes(self.batches).select("id", "n"), "id")
+        out = materialise(sized.where(F.col("pn") + F.col("n") - 2 * F.col("k") <= F.greatest("pn", "n")).select("probe", "id"), "matches")
+        discard(asked)
+        discard(pairs)
+        return out
+
+    def _sets(self, pivots: DataFrame) -> DataFrame:
+        """Whole sets in the directories of ``pivots`` (pivot): at most one directory per PER_PIVOT * PER_GROUP accepted records."""
+        b, part = F.shiftright("pivot", 32).cast("int"), F.floor((F.col("pivot") - F.shiftleft(F.shiftright("pivot", 32), 32)) / PER_GROUP)
+        parts = [f"batch={r.b}/part={r.part}" for r in pivots.select(b.alias("b"), part.alias("part")).distinct().collect()]
+        self.read_parts = sorted({*self.read_parts, *parts})
+        if not parts:
+            return self._read("tokens", []).drop("batch", "part")
+        return self.spark.read.schema("id long, tok long, common boolean, pivot long").parquet(*[f"{self.folder}/tokens/{p}" for p in sorted(parts)])
+
+    def close(self) -> None:
+        """Forget the table's name; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.hashes}")
+
+
+def match_batches(rows: DataFrame, sets_of, folder: str) -> DataFrame:
+    """(probe, id): matching pairs of repositories where the probe has a row in batch 1 or later, found batch by batch.
+
+    rows: (batch_no, repo); sets_of: gives the sets (id, tok; distinct) of the repositories in a table (id).
+    """
+    spark = rows.sparkSession
+    listed = materialise(rows.where("repo is not null and batch_no is not null").select(F.col("repo").cast("long").alias("id"), F.col("batch_no").alias("batch")).distinct(), "listed")
+    first = materialise(listed.groupBy("id").agg(F.min("batch").alias("batch")), "first")
+    index = HistoryIndex(spark, folder)
+    found = []
+    for batch in sorted(r.batch for r in listed.select("batch").distinct().collect()):  # a row per batch
+        index.accept(sets_of(first.where(F.col("batch") == batch).select("id")), batch)
+        if batch >= 1:
+            found.append(index.match(listed.where(F.col("batch") == batch).select("id"), batch))
+    index.close()
+    out = spark.createDataFrame([], "probe long, id long")
+    for f in found:
+        out = out.unionByName(f)
+    return out.distinct()
 
 
 def first_matches(rows: DataFrame, prints: DataFrame, boiler: DataFrame) -> DataFrame:
     """(first_id, cand_id) of every later row that matches an earlier one."""
-    from codekin.llm.setjoin import distinct_sets
-
     rows = rows.where("cand_id is not null and batch_no is not null")
-    pairs = match_all(rows, distinct_sets(prints, "repo", "hash", boiler.select("hash")))
+    of_batch = lambda ids: distinct_sets(prints.join(ids.withColumnRenamed("id", "repo"), "repo", "left_semi"), "repo", "hash", boiler.select("hash"))
+    pairs = materialise(match_batches(rows, of_batch, fresh_path(prints.sparkSession, "history")), "pairs")
     held = rows.where("repo is not null").select("cand_id", "batch_no", F.col("repo").alias("id"))
     probes = rows.where("repo is not null and batch_no >= 1").select(F.col("cand_id").alias("cand"), F.col("batch_no").alias("batch"), F.col("repo").alias("probe"))
     earlier = (F.col("batch_no") < F.col("batch")) | ((F.col("batch_no") == F.col("batch")) & (F.col("cand_id") < F.col("cand")))
     content = probes.join(pairs, "probe").join(held, "id").where(earlier).groupBy(F.col("cand").alias("c")).agg(F.min("cand_id").alias("first_id")).select(F.col("c").alias("cand_id"), "first_id")
     found = first_by_key(rows, name_key(F.col("full_name"))).unionByName(first_by_key(rows, address_key(F.col("clone_url")))).unionByName(content)
     return found.groupBy("cand_id").agg(F.min("first_id").alias("first_id")).select("first_id", "cand_id")
-
-
-class HistoryIndex:
-    """The accepted sets, their pivots and distances in a folder; a batch reads what it meets and appends its own rows."""
-
-    def __init__(self, spark, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
-
-    def _sized(self, sets: DataFrame, common: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
-        flags = common.select("tok").withColumn("common", F.lit(True))
-        tokens = materialise(sets.join(flags, "tok", "left").select("id", "tok", F.coalesce("common", F.lit(False)).alias("common")), "batch")
-        sizes = materialise(tokens.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("common").cast("int")).alias("c")), "sizes")
-        return tokens, deal(sizes.withColumn("batch", F.lit(batch)), sizes.count(), "batch").select("id", "n", "c", "pivot")
-
-    def _append(self, tokens: DataFrame, members: DataFrame, batch: int) -> None:
-        hashes = materialise(pivot_hashes(tokens, members), "pivot_hashes")
-        size = hashes.groupBy("pivot").agg(F.count("*").alias("rare"))
-        n_common = self._read("common").count()
-        # Stored distance of a member to its pivot: |P| - |A|.
-        placed = members.join(size, "pivot", "left").withColumn("distance", F.coalesce("rare", F.lit(0)) + n_common - F.col("n")).drop("rare")
-        for name, df in (("tokens", tokens), ("members", placed), ("hashes", hashes)):
-            df.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{self.folder}/{name}")
-
-    def build(self, sets: DataFrame) -> None:
-        """Accept the first sets (id, tok) and fix the common hashes."""
-        n = sets.select("id").distinct().count()
-        limit = max(COMMON_LEAST, int(COMMON_SHARE * n))
-        sets.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") > limit).write.mode("overwrite").parquet(f"{self.folder}/common")
-        tokens, members = self._sized(sets, self._read("common"), 0)
-        self._append(tokens, members, 0)
-
-    def match(self, sets: DataFrame, batch: int, accept: bool = True) -> DataFrame:
-        """(probe, id): matches of the batch's sets among the accepted ones; the batch is then accepted as well."""
-        common = self._read("common")
-        tokens, members = self._sized(sets, common, batch)
-        old = self._read("members").where(F.col("batch") < batch).drop("batch")
-        old_tokens, old_hashes = self._read("tokens").where(F.col("batch") < batch).drop("batch"), self._read("hashes").where(F.col("batch") < batch).drop("batch")
-        pairs = materialise(verified(candidates(members, tokens, old, old_hashes, old_tokens, common), tokens, old_tokens, members, old), "matches")
-        if accept:
-            self._append(tokens, members, batch)
-        return pairs

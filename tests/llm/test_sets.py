@@ -60,16 +60,33 @@ def test_history_against_brute_force(spark, per_pivot, monkeypatch, tmp_path):
     monkeypatch.setattr(history, "COMMON_SHARE", 0.0)
     d = corpus(7, 40)
     batch = {r: r // 14 for r in d}
-    rows = spark.createDataFrame([(100 + r, batch[r], r) for r in d], "cand_id long, batch_no int, repo long")
+    again = [(5, 2), (20, 2), (3, 1)]  # repositories that come in a later batch once more
+    rows = spark.createDataFrame([(batch[r], r) for r in d] + [(k, r) for r, k in again] + [(None, 1), (1, None)], "batch_no int, repo long")
     both = {(a, b) for a, b in matching(d)} | {(b, a) for a, b in matching(d)}
-    got = {(r.probe, r.id) for r in history.match_all(rows, frame(spark, d)).collect()}
-    assert got == {(a, b) for a, b in both if batch[a] >= 1}
-    # The same batch by batch, against a stored index.
-    index = history.HistoryIndex(spark, str(tmp_path))
-    part = lambda k: frame(spark, {r: s for r, s in d.items() if batch[r] == k})
-    index.build(part(0))
-    for k in sorted(set(batch.values()) - {0}):
-        assert {(r.probe, r.id) for r in index.match(part(k), k).collect()} == {(a, b) for a, b in both if batch[a] == k and batch[b] < k}
+    last = {r: max([batch[r]] + [k for x, k in again if x == r]) for r in d}
+    whole = frame(spark, d)
+    got = [(r.probe, r.id) for r in history.match_batches(rows, lambda ids: whole.join(ids, "id", "left_semi"), str(tmp_path / "a")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in both if any(k >= 1 and batch[b] <= k for k in [batch[a]] + [k for x, k in again if x == a])}
+    assert last[5] == 2
+    none = history.match_batches(rows.limit(0), lambda ids: whole.join(ids, "id", "left_semi"), str(tmp_path / "none"))
+    assert none.count() == 0
+
+
+def test_reads_only_what_a_batch_meets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "PER_GROUP", 1)
+    monkeypatch.setattr(history, "PER_PIVOT", 4)
+    sets = lambda k, n=12: frame(spark, {100 * k + i: set(range(10000 * k + 20 * i, 10000 * k + 20 * i + 10)) for i in range(n)})
+    new = {901: set(range(10000, 10009)) | {1}, 902: {7, 8, 9}}  # close to the first record of batch 1
+    read = []
+    for extra in (0, 3):
+        index = history.HistoryIndex(spark, str(tmp_path / f"i{extra}"), 4)
+        for k in [1, *range(2, 2 + extra)]:
+            index.accept(sets(k), k)
+        assert index.accept(frame(spark, new), 9) == 2
+        assert [(r.probe, r.id) for r in index.match(frame(spark, new).select("id"), 9).collect()] == [(901, 100)]
+        read.append(index.read_parts)
+        index.close()
+    assert read[0] == read[1] and len(read[0]) == 2
 
 
 def test_first_matches(spark):
