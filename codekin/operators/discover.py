@@ -12,6 +12,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BRANCHES = ("main", "master", "develop", "HEAD")  # fixed values, in order of preference
+
 
 def contains_any(col: Column, parts: list[str]) -> Column:
     """Whether one of the parts stands in the text, letters' case aside."""
@@ -86,3 +88,31 @@ def newest(df: DataFrame, keys: list[str], time: str, n: int = 3) -> DataFrame:
     """The n newest rows per key."""
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(time))
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def from_search(items: DataFrame, low: int | None = None, high: int | None = None, skip_forks: bool = True) -> DataFrame:
+    """Candidates from search results (full_name, size, fork, archived, ..., seq): the wanted ones, each name once, as first seen."""
+    return first_source_wins(keep(items, low, high, skip_forks, "archived"), F.lit(0), "seq")
+
+
+def merged(*sources: DataFrame) -> DataFrame:
+    """Candidates of several sources, each name from the first source that has it."""
+    rows = [s.withColumns({"_source": F.lit(i), "_at": F.monotonically_increasing_id()}) for i, s in enumerate(sources)]
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+    return first_source_wins(every, F.col("_source"), "_at").drop("_source", "_at")
+
+
+def resolve_snapshots(visits: DataFrame, branches: DataFrame, names: tuple[str, ...] = BRANCHES, newest_visits: int = 3) -> DataFrame:
+    """(full_name, snapshot, branch, target): the revision to take of each archived repository.
+
+    visits: (full_name, at, status, snapshot); branches: (snapshot, branch, kind, target), kind 'alias' naming another branch
+    of the snapshot. Of the newest full visits with a snapshot the first with a usable branch counts; in it the branches of
+    ``names`` in their order, then any other, the first by name. An alias is followed once; where it leads nowhere it isn't usable.
+    """
+    full = newest(visits.where("status = 'full' and snapshot is not null"), ["full_name"], "at", newest_visits).select("full_name", "snapshot", "rank")
+    direct = branches.where("kind != 'alias' and target is not null").select("snapshot", "branch", "target")
+    hop = branches.where("kind = 'alias'").select("snapshot", F.col("branch").alias("alias"), F.col("target").alias("branch")).join(direct, ["snapshot", "branch"]).select("snapshot", F.col("alias").alias("branch"), "target")
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.regexp_replace("branch", "^refs/heads/", ""))
+    usable = direct.unionByName(hop).withColumn("place", F.when(place > 0, place).otherwise(len(names) + 1))
+    best = full.join(usable, "snapshot").groupBy("full_name").agg(F.min(F.struct("rank", "place", "branch", "snapshot", "target")).alias("b"))
+    return best.select("full_name", "b.snapshot", "b.branch", "b.target")

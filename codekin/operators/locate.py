@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codekin.functions.paths import SUFFIXES, any_suffix, normal_path, stem_of
@@ -58,3 +58,19 @@ def locate(listing: DataFrame, module: Module) -> DataFrame:
     best = score_dirs(candidate_dirs(listing, module.patterns), module).where("score > 0").groupBy("repo").agg(F.min_by(F.struct("root", "score"), F.struct((-F.col("score")).alias("s"), "root")).alias("best"))
     whole = score_dirs(listing.where("path is not null").select("repo", F.lit("").alias("root"), normal_path(F.col("path")).alias("path")), module).where("score > 0")
     return whole.select("repo", F.col("score").alias("whole")).join(best, "repo", "full").select("repo", F.coalesce("best.root", F.lit("")).alias("root"), F.coalesce("best.score", "whole").alias("score"))
+
+
+def all_dirs(listing: DataFrame, module: Module) -> DataFrame:
+    """(repo, root, score, rank): every qualifying directory, the best first; ties go to the first path."""
+    found = score_dirs(candidate_dirs(listing, module.patterns), module).where("score > 0").select("repo", "root", "score")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "root")))
+
+
+def below_best(files: DataFrame, module: Module) -> DataFrame:
+    """(repo, relpath, text, root): files of the best directory with paths below it; all files where none qualifies. files: (repo, relpath, text)."""
+    best = locate(files.select("repo", F.col("relpath").alias("path")), module).select("repo", "root")
+    placed = files.join(best, "repo", "left").withColumn("root", F.coalesce("root", F.lit("")))
+    path = normal_path(F.col("relpath"))
+    inside = (F.col("root") == "") | path.startswith(F.concat("root", F.lit("/")))
+    cut = F.when(F.col("root") == "", F.col("relpath")).otherwise(F.substring(path, F.length("root") + 2, F.length(path)))
+    return placed.where(inside).select("repo", cut.alias("relpath"), "text", "root")

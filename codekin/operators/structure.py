@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codekin.functions.tokens import CPP_KEYWORDS, normal_type
@@ -243,8 +243,14 @@ def channel_scores(functions: DataFrame, pairs: DataFrame, smaller: bool) -> Dat
 
 
 def shape_matches(functions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, hash, size, a_file, a_start, b_file, b_start): common shapes of given pairs, the first function of each side."""
+    """(a, b, hash, size, a_file, a_start, a_name, b_file, b_start, b_name): common shapes of given pairs, the first function of each side."""
     f = by_hash(functions)
-    left = f.select(F.col("repo").alias("a"), "hash", "size", F.col("file").alias("a_file"), F.col("start").alias("a_start"))
-    right = f.select(F.col("repo").alias("b"), "hash", F.col("file").alias("b_file"), F.col("start").alias("b_start"))
+    left = f.select(F.col("repo").alias("a"), "hash", "size", F.col("file").alias("a_file"), F.col("start").alias("a_start"), F.col("name").alias("a_name"))
+    right = f.select(F.col("repo").alias("b"), "hash", F.col("file").alias("b_file"), F.col("start").alias("b_start"), F.col("name").alias("b_name"))
     return pairs.select("a", "b").join(left, "a").join(right, ["b", "hash"])
+
+
+def top_shapes(matches: DataFrame, n: int = 6) -> DataFrame:
+    """The n largest common shapes of each pair with their rank, as a report shows them."""
+    w = Window.partitionBy("a", "b").orderBy(F.desc("size"), "hash")
+    return matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

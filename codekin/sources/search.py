@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "full_name string, clone_url string, size int, stars int, pushed_at string, owner string, fork boolean, archived boolean, found_by string, seq long"
+PAGE = "query string, items array<struct<full_name: string, clone_url: string, size: int, stargazers_count: int, pushed_at: string, owner: struct<login: string>, fork: boolean, archived: boolean>>"
 
 
 class SearchSource(DataSource):
@@ -24,6 +27,18 @@ class SearchSource(DataSource):
         return SearchReader(self.options["path"])
 
 
+def pages(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows from page files on any storage that Spark reads; ``seq`` follows the file names, then the place in the page."""
+    files = spark.read.schema(PAGE).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    numbered = files.withColumn("file", F.input_file_name())
+    number = numbered.select("file").distinct().withColumn("number", F.row_number().over(Window.orderBy("file")) - 1)  # a row per page file
+    rows = numbered.join(F.broadcast(number), "file").select("query", "number", F.posexplode("items").alias("i", "it"))
+    return rows.select(
+        "it.full_name", "it.clone_url", "it.size", F.col("it.stargazers_count").alias("stars"), F.substring(F.coalesce("it.pushed_at", F.lit("")), 1, 10).alias("pushed_at"), F.col("it.owner.login").alias("owner"),
+        "it.fork", "it.archived", F.col("query").alias("found_by"), (F.col("number") * 1_000_000 + F.col("i")).cast("long").alias("seq"),
+    )
+
+
 class SearchReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path

@@ -1,13 +1,15 @@
 import json
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from codekin.operators import discover, locate, structure, verify
 from codekin.plans.pipeline import Corpus
-from codekin.plans.report import page, snippets
-from codekin.sources import files, manifest, specs
+from codekin.plans.report import page, snippets, visible
+from codekin.scratch import materialise
+from codekin.sources import files, manifest, search, specs
 from codekin.sources.search import SearchSource
 from codekin.streaming import ingest
 
@@ -115,11 +117,27 @@ def test_pipeline_checks_and_report(spark, tmp_path):
     first = {r.repo: (r.containment, r.verdict) for r in top.collect()}
     assert first["u3/p"] == (1.0, "HIGH") and first["copy/p"] == (1.0, "SELF")
     assert "u3/p" in page("<mine>", top) and "&lt;mine&gt;" in page("<mine>", top)
+    whole = c.report(sub, "mine", materialise(top, "matches"))
+    assert "<summary>u3/p</summary>" in whole and "<summary>copy/p</summary>" not in whole and "<mark>" in whole and "independent" in whole
+    assert [r.stage for r in c.status().where("not finished").collect()] == [] and c.read("meta").first().repos == 9
+    assert visible(top).where("verdict = 'NORMAL'").count() == 0 and visible(top, True).count() == top.count()
+    shutil.rmtree(tmp_path / "null")  # a build that was broken off goes on there
+    assert c.build(src) and c.has("null") and not c.build(src)
     regions = spark.createDataFrame([("u0/p", "a.cpp", 2, 3), ("u0/p", "a.cpp", 12, 99), ("u0/p", "a.cpp", 50, 60)], "repo string, file string, start int, end int")
     got = snippets(regions, src, 1).collect()
     assert sorted((r.start, r.line, r.marked) for r in got) == [(2, 1, False), (2, 2, True), (2, 3, True), (2, 4, False), (12, 11, False), (12, 12, True)]
 
 
+def test_subproject_submissions_descend(spark, tmp_path):
+    spec = specs.Spec("x", rules=verify.Rules(required=["Form"], required_threshold=1, min_files=2, reject=["other module"]), module=locate.Module(["(^|/)ex01(/|$)"], ["Form"]))
+    c = Corpus(spark, str(tmp_path), spec)
+    rows = [("s", "ex01/Form.cpp", "Form a;"), ("s", "ex01/Form.hpp", "Form b;"), ("s", "ex02/Zoo.cpp", "// other module"), ("ok", "Form.cpp", "Form"), ("ok", "ex01/x.cpp", "y")]
+    got = {(r.repo, r.relpath) for r in c.resolved(spark.createDataFrame(rows, "repo string, relpath string, text string")).collect()}
+    assert got == {("s", "Form.cpp"), ("s", "Form.hpp"), ("ok", "Form.cpp"), ("ok", "ex01/x.cpp")}
+    listing = spark.createDataFrame([("r", p) for p in ("a/ex01/Form.cpp", "a/ex01/Form.hpp", "ex01/Form.cpp", "ex01/Form.hpp", "ex01/x.hpp")], "repo string, path string")
+    assert [(r.root, r["rank"]) for r in locate.all_dirs(listing, spec.module).orderBy("rank").collect()] == [("a/ex01", 1), ("ex01", 2)]
+
+
 def program(rng, ops, n=12):
     """n functions; their control flow comes from rng, their operators from ops (as tokens they differ, as kinds they don't)."""
     out, (plus, less, put) = [], ops
@@ -155,6 +173,18 @@ def test_files_specs_search_and_manifest(spark, tmp_path):
     assert [(r.repo, r.relpath, r.lang, r.text) for r in got] == [("r1", "src/a.cpp", "cpp", "int  x;")]
     assert files.source_files(spark, f"file:{root}", languages=["dockerfile"]).first().repo == "r2"
     assert files.listing(spark, f"file:{root}").count() == 3  # hidden directories aren't listed
+    # Contents of unwanted files aren't read: too large a one does no harm.
+    (root / "r1/src/big.bin").write_bytes(b"x" * 5000)
+    (root / "r1/vendor[1]").mkdir()
+    (root / "r1/vendor[1]/big.cpp").write_bytes(b"x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 50)
+    try:
+        got = files.source_files(spark, f"file:{root}", [".cpp"], excluded=(".git", "vendor[1]")).collect()
+        assert [r.relpath for r in got] == ["src/a.cpp"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert files.source_files(spark, f"file:{root}", [".cpp"]).count() == 2
+    assert files.source_files(spark, f"file:{root}", [".rs"]).count() == 0
 
     (tmp_path / "s.json").write_text(json.dumps({"name": "p", "compare": {"k_high": 20, "winnow_window": 6}, "verification": {"min_source_files": 2, "required_tokens": {"tokens": ["A"], "threshold": 1, "weight": 4}}, "subproject": {"path_patterns": ["x"], "required_stems": ["A"]}}))
     s = specs.load(str(tmp_path / "s.json"))
@@ -169,6 +199,12 @@ def test_files_specs_search_and_manifest(spark, tmp_path):
     spark.dataSource.register(SearchSource)
     r = spark.read.format("search_pages").option("path", str(pages)).load().first()
     assert (r.full_name, r.owner, r.pushed_at, r.found_by, r.fork) == ("a/b", "a", "2020-01-02", "q", None)
+    (pages / "1.json").write_text(json.dumps({"query": "p", "items": [{"full_name": "c/d", "size": 9}, {"full_name": "a/b", "size": 4}, {"full_name": "e/f", "size": 0, "archived": True}]}))
+    both = search.pages(spark, f"file:{pages}")
+    assert sorted(map(tuple, both.collect()), key=lambda t: t[-1]) == sorted(map(tuple, spark.read.format("search_pages").option("path", str(pages)).load().collect()), key=lambda t: t[-1])
+    assert sorted((r.full_name, r.size) for r in discover.from_search(both).collect()) == [("a/b", 3), ("c/d", 9)]
+    manifest.save_candidates(discover.from_search(both), str(tmp_path / "cands"))
+    assert sorted(r.full_name for r in spark.read.json(str(tmp_path / "cands")).collect()) == ["a/b", "c/d"]
 
     m = str(tmp_path / "manifest")
     row = lambda n, s, why=None: spark.createDataFrame([(n, s, why)], "name string, status string, reason string")
@@ -179,6 +215,37 @@ def test_files_specs_search_and_manifest(spark, tmp_path):
     assert {(r.status, r.rows) for r in manifest.status_counts(manifest.read(spark, m)).collect()} == {("rejected", 2)}
     assert manifest.retry(spark, m, ["could NOT read"]) == 1
     assert [r.name for r in manifest.read(spark, m).collect()] == ["a"]
+    # A writer that dies half-way leaves the last version standing.
+    (tmp_path / "manifest" / "v=99").mkdir()
+    assert [r.name for r in manifest.read(spark, m).collect()] == ["a"] and len(list((tmp_path / "manifest").iterdir())) == 3
+
+
+def test_fetched_repositories_are_verified_once(spark, tmp_path):
+    m = str(tmp_path / "m")
+    c = spark.createDataFrame([("u/a", "h://a", "u"), ("u/a", "h://a2", "u"), ("u/b", None, "u"), ("u/c", "h://c", None), (None, "x", "y")], "full_name string, clone_url string, owner string")
+    src = spark.createDataFrame([("u/a", "x/Form.cpp", "Form\n\n"), ("u/a", "x/Form.hpp", "Form\n"), ("u/a", "other.cpp", "no"), ("u/b", "b.cpp", "Form"), ("z/z", "z.cpp", "Form")], "repo string, relpath string, text string")
+    rules = verify.Rules(min_files=2, required=["Form"], required_threshold=1)
+    manifest.accept(spark, m, c, src, rules, locate.Module(["(^|/)x(/|$)"], ["Form"]))
+    got = {r.name: (r.status, r.dir, r.files, r.lines, r.reason) for r in manifest.read(spark, m).collect()}
+    assert got == {"u/a": ("accepted", "u~a/x", 2, 3, None), "u/b": ("rejected", "u~b", 1, 0, "too few source files"), "u/c": ("rejected", "u~c", None, None, "could not read from remote")}
+    manifest.accept(spark, m, c, src.limit(0), rules)
+    assert {r.name: r.status for r in manifest.read(spark, m).collect()} == {k: v[0] for k, v in got.items()}
+    dirs = spark.createDataFrame([("u~a/x", "f", "a\n"), ("old~one~two", "f", "a\nb\n"), ("_tmp", "f", "a")], "dir string, relpath string, text string")
+    assert manifest.adopt(spark, m, dirs) == 1 and manifest.adopt(spark, m, dirs) == 0
+    assert [(r.status, r.lines) for r in manifest.read(spark, m).where("name = 'old/one~two'").collect()] == [("accepted", 2)]
+
+
+def test_snapshots_and_merging(spark):
+    visits = spark.createDataFrame([("a/x", f"2024-01-0{i}", st, sn) for i, st, sn in ((1, "full", "s1"), (2, "full", "s2"), (3, "partial", "s3"), (4, "full", None), (5, "full", "s5"))] + [("b/y", "2024-01-01", "full", "t")], "full_name string, at string, status string, snapshot string")
+    branches = spark.createDataFrame(
+        [("s5", "HEAD", "alias", "refs/heads/gone"), ("s2", "refs/heads/zz", "revision", "r0"), ("s2", "refs/heads/develop", "revision", "r1"), ("s2", "HEAD", "alias", "refs/heads/develop"), ("s1", "refs/heads/main", "revision", "r9"), ("t", "refs/heads/odd", "revision", "r7"), ("t", "HEAD", "alias", "refs/heads/odd")],
+        "snapshot string, branch string, kind string, target string",
+    )
+    got = {r.full_name: (r.snapshot, r.branch, r.target) for r in discover.resolve_snapshots(visits, branches).collect()}
+    assert got == {"a/x": ("s2", "refs/heads/develop", "r1"), "b/y": ("t", "HEAD", "r7")}
+    first = spark.createDataFrame([("a/b", 1), ("c/d", 2)], "full_name string, size int")
+    second = spark.createDataFrame([("a/b", 9, 3), ("e/f", 4, 1), (None, 1, 1)], "full_name string, size int, archive_events int")
+    assert sorted((r.full_name, r.size, r.archive_events) for r in discover.merged(first, second).collect()) == [("a/b", 1, None), ("c/d", 2, None), ("e/f", 4, 1)]
 
 
 def test_streaming(spark, tmp_path):
