@@ -72,8 +72,7 @@ def first_by_key(rows: DataFrame, key) -> DataFrame:
 SCHEMAS = {
     "common": "tok long, df long",
     "tokens": "id long, tok long, common boolean, pivot long, batch int, part long",
-    "pivots": "pivot long, size long, batch int",
-    "members": "pivot long, distance long, id long, c long, batch int",
+    "members": "pivot long, size long, distance long, id long, c long, batch int",
     "heads": "tok long, id long, n long, batch int",
 }
 
@@ -82,7 +81,7 @@ class HistoryIndex:
     """The accepted sets, their pivots and distances in a folder; a batch reads what it meets and appends its own rows.
 
     Tables: common (tok, df), fixed at the first batch; tokens (id, tok, common, pivot; directories by batch and group of
-    pivots); hashes (pivot, tok, cnt), bucketed by tok; pivots (pivot, size); members (pivot, distance, id, c);
+    pivots); hashes (pivot, tok, cnt), bucketed by tok; members (pivot, size, distance, id, c), size being the pivot's;
     heads (tok, id, n): the rarest common hashes of sets that consist by half of common ones.
     """
 
@@ -90,6 +89,7 @@ class HistoryIndex:
         self.spark, self.folder, self.buckets = spark, folder, buckets
         self.batches: list[int] = []
         self.has_heads = False
+        self.n_common = 0
         self.read_parts: list[str] = []  # directories of whole sets that the last match has read
         self.hashes = f"pivot_hashes_{uuid.uuid4().hex}"
 
@@ -100,16 +100,15 @@ class HistoryIndex:
     def _append(self, df: DataFrame, name: str, batch: int, *by: str) -> None:
         df.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch", *by).parquet(f"{self.folder}/{name}")
 
-    def accept(self, sets: DataFrame, batch: int) -> int:
-        """Append the sets (id, tok; distinct) of records that weren't accepted yet; how many records they are."""
-        sets = materialise(sets.select("id", "tok"), "batch")
-        n = sets.select("id").distinct().count()
+    def accept(self, sets: DataFrame, batch: int, n: int | None = None) -> None:
+        """Append the sets (id, tok; distinct) of records that weren't accepted yet; n is their number, if it is known."""
+        if n is None or not self.batches:
+            sets = materialise(sets.select("id", "tok"), "batch")
+            n = sets.select("id").distinct().count() if n is None else n
         if not self.batches:
             limit = max(COMMON_LEAST, int(COMMON_SHARE * n))
             sets.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") > limit).write.parquet(f"{self.folder}/common")
-        if not n and self.batches:
-            discard(sets)
-            return 0
+            self.n_common = self._read("common").count()
         common = self._read("common")
         number = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // PER_PIVOT))))
         tokens = sets.join(common.select("tok", F.lit(True).alias("common")), "tok", "left").select("id", "tok", F.coalesce("common", F.lit(False)).alias("common"), (number + F.lit(batch << 32)).alias("pivot"), F.floor(number / PER_GROUP).alias("part"))
@@ -119,37 +118,32 @@ class HistoryIndex:
         # One shuffle by hash, in the buckets of the table.
         rare = tokens.where("not common").repartition(self.buckets, "tok").groupBy("pivot", "tok").agg(F.count("*").alias("cnt"))
         rare.write.mode("append" if self.batches else "overwrite").bucketBy(self.buckets, "tok").option("path", f"{self.folder}/hashes").saveAsTable(self.hashes)
-        n_common = common.count()
         size = self.spark.table(self.hashes).where(F.shiftright("pivot", 32) == batch).groupBy("pivot").agg(F.count("*").alias("size"))
         own = tokens.groupBy("id", "pivot").agg(F.count("*").alias("n"), F.count_if("common").alias("c"))
-        placed = materialise(own.join(size, "pivot", "left").withColumn("size", F.coalesce("size", F.lit(0)) + n_common), "placed")
-        self._append(placed.select("pivot", "size").distinct(), "pivots", batch)
-        self._append(placed.select("pivot", (F.col("size") - F.col("n")).alias("distance"), "id", "c").repartitionByRange("pivot", "distance").sortWithinPartitions("pivot", "distance"), "members", batch)
+        placed = own.join(size, "pivot", "left").withColumn("size", F.coalesce("size", F.lit(0)) + self.n_common)
+        self._append(placed.select("pivot", "size", (F.col("size") - F.col("n")).alias("distance"), "id", "c").repartitionByRange("pivot", "distance").sortWithinPartitions("pivot", "distance"), "members", batch)
         # S needs n/2 of its c common hashes to match by them alone, so one of its c - n/2 + 1 rarest is shared.
-        heavy = placed.where("2 * c >= n").select("id", "n", (F.col("c") - F.ceil(F.col("n") / 2) + 1).alias("take"))
-        place = F.row_number().over(Window.partitionBy("id").orderBy("df", "tok"))
-        heads = tokens.where("common").join(heavy, "id").join(common, "tok").withColumn("place", place).where("place <= take").select("tok", "id", "n")
-        self._append(heads, "heads", batch)
-        self.has_heads = self.has_heads or not self._read("heads", [batch]).isEmpty()
-        discard(placed)
+        heavy = self._sizes([batch]).where("2 * c >= n").select("id", "n", (F.col("c") - F.ceil(F.col("n") / 2) + 1).alias("take"))
+        if not heavy.isEmpty():
+            place = F.row_number().over(Window.partitionBy("id").orderBy("df", "tok"))
+            heads = tokens.where("common").join(heavy, "id").join(common, "tok").withColumn("place", place).where("place <= take").select("tok", "id", "n")
+            self._append(heads, "heads", batch)
+            self.has_heads = True
         self.batches.append(batch)
-        return n
 
     def _sizes(self, batches: list[int]) -> DataFrame:
         """(id, pivot, n, c) of accepted records; a set's size is its pivot's less its distance to it."""
-        pivots = self._read("pivots", batches).select("pivot", "size")
-        return self._read("members", batches).join(pivots, "pivot").select("id", "pivot", (F.col("size") - F.col("distance")).alias("n"), "c")
+        return self._read("members", batches).select("id", "pivot", (F.col("size") - F.col("distance")).alias("n"), "c")
 
     def candidates(self, probes: DataFrame, tokens: DataFrame) -> DataFrame:
         """(probe, id, pivot) that the pivots can't rule out. probes: (id, n, c); tokens: (id, tok, common, pivot) of them."""
         rare = tokens.where("not common").select(F.col("id").alias("probe"), "tok", F.col("pivot").alias("own"))
         met = rare.join(self.spark.table(self.hashes), "tok").where((F.col("own") != F.col("pivot")) | (F.col("cnt") > 1))
         near = met.groupBy("probe", "pivot").agg(F.count("*").alias("r")).join(probes.select(F.col("id").alias("probe"), F.col("n").alias("pn"), F.col("c").alias("pc")), "probe")
-        near = near.join(self._read("pivots").select("pivot", "size"), "pivot").withColumn("reach", 2 * (F.col("pc") + F.col("r")))
+        reach = 2 * (F.col("pc") + F.col("r"))
         # The range of stored distances that the triangle inequality leaves to the pivot's members.
-        near = near.withColumn("low", F.when(F.col("pn") <= F.col("reach"), 0).otherwise(F.col("size") - F.col("reach")))
-        members = self._read("members").select("pivot", "distance", "id", "c")
-        found = near.join(members, "pivot").where((F.col("distance") >= F.col("low")) & (F.col("probe") != F.col("id")))
+        low = F.when(F.col("pn") <= reach, 0).otherwise(F.col("size") - reach)
+        found = near.join(self._read("members").select("pivot", "size", "distance", "id", "c"), "pivot").where((F.col("distance") >= low) & (F.col("probe") != F.col("id")))
         smaller = F.least("pn", F.col("size") - F.col("distance"))
         out = found.where(F.ceil(smaller / 2) <= F.least("c", "pc") + F.col("r")).select("probe", "id", "pivot")
         if self.has_heads:
@@ -184,7 +178,7 @@ class HistoryIndex:
         parts = [f"batch={r.b}/part={r.part}" for r in pivots.select(b.alias("b"), part.alias("part")).distinct().collect()]
         self.read_parts = sorted({*self.read_parts, *parts})
         if not parts:
-            return self._read("tokens", []).drop("batch", "part")
+            return self.spark.createDataFrame([], "id long, tok long, common boolean, pivot long")
         return self.spark.read.schema("id long, tok long, common boolean, pivot long").parquet(*[f"{self.folder}/tokens/{p}" for p in sorted(parts)])
 
     def close(self) -> None:
@@ -200,10 +194,12 @@ def match_batches(rows: DataFrame, sets_of, folder: str) -> DataFrame:
     spark = rows.sparkSession
     listed = materialise(rows.where("repo is not null and batch_no is not null").select(F.col("repo").cast("long").alias("id"), F.col("batch_no").alias("batch")).distinct(), "listed")
     first = materialise(listed.groupBy("id").agg(F.min("batch").alias("batch")), "first")
+    sizes = {r.batch: r.n for r in listed.select("batch", F.lit(0).alias("n")).unionByName(first.select("batch", F.lit(1).alias("n"))).groupBy("batch").agg(F.sum("n").alias("n")).collect()}  # a row per batch
     index = HistoryIndex(spark, folder)
     found = []
-    for batch in sorted(r.batch for r in listed.select("batch").distinct().collect()):  # a row per batch
-        index.accept(sets_of(first.where(F.col("batch") == batch).select("id")), batch)
+    for batch in sorted(sizes):
+        if sizes[batch] or not index.batches:
+            index.accept(sets_of(first.where(F.col("batch") == batch).select("id")), batch, sizes[batch])
         if batch >= 1:
             found.append(index.match(listed.where(F.col("batch") == batch).select("id"), batch))
     index.close()
