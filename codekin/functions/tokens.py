@@ -108,11 +108,6 @@ def evidence_texts(src: Column, least: int = 12) -> Column:
     return F.filter(F.concat(line, block, quoted), lambda t: F.length(t) >= least)
 
 
-def gram_hash(text: Column) -> Column:
-    """60-bit hash of a text, the same in every engine that has md5."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
 def normal_type(t: Column) -> Column:
     """A C++ type without qualifiers and with its common aliases made equal; plain substring replacement, in this order."""
     # Qualifiers that are dropped, then spellings that are made equal.

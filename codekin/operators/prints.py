@@ -3,7 +3,8 @@
 A repository's stream is the concatenation of its files in path order, so grams run over file borders. Streams are cut
 into blocks of ``block`` tokens with as many tokens of the next block as grams and windows reach over; each block is an
 independent row, so one giant repository spreads over many tasks and no stream is gathered in one. Token positions come
-from a running sum over the files' token counts, which are small.
+from a running sum over the files' token counts, which are small. Hashes and windows are made block by block in Arrow
+batches; as expressions over arrays they would be interpreted.
 
 Defined results: null texts have no tokens; repeated (repo, relpath) rows count once, the greatest text standing; streams
 shorter than k have no grams; fewer than w grams give exactly one print; equal hashes in a window: the leftmost counts.
@@ -11,11 +12,17 @@ shorter than k have no grams; fewer than w grams give exactly one print; equal h
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codekin.functions.paths import language_of
-from codekin.functions.tokens import gram_hash, source_tokens
+from codekin.functions.tokens import source_tokens
 
 BLOCK = 4096
 
@@ -54,37 +61,83 @@ def blocks(tokens: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
     return _computed(grouped.select("repo", "total", (F.col("b") * block).alias("begin"), F.col("pieces")[0]["lo"].alias("start"), F.flatten(F.transform("pieces", lambda p: p["piece"])).alias("toks")), "toks")
 
 
-def _gram_rows(tokens: DataFrame, k: int, reach: int, block: int) -> DataFrame:
-    b = blocks(tokens, reach, block).where(F.col("total") >= k)
-    b = _computed(b.withColumn("words", F.transform("toks", lambda t: t["tok"])), "words")
-    b = b.withColumn("g", F.size("toks") - k + 1).where("g > 0")
-    grams = F.transform(F.sequence(F.lit(1), F.col("g")), lambda i: F.struct(gram_hash(F.array_join(F.slice("words", i, F.lit(k)), " ")).alias("h"), (F.col("start") + i - 1).alias("p")))
-    return _computed(b.withColumn("grams", grams).drop("words", "g"), "grams")
+def _gram_hashes(words: list[str], k: int) -> np.ndarray:
+    """Hash of each window of k words: the first 60 bits of its md5, which other engines have as well."""
+    md5 = hashlib.md5
+    return np.fromiter((int(md5(" ".join(words[i : i + k]).encode(), usedforsecurity=False).hexdigest()[:15], 16) for i in range(len(words) - k + 1)), np.int64, max(0, len(words) - k + 1))
+
+
+def _block_grams(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
+    """(row, first token's place in the batch, begin, start, total, hashes) of each block with a gram."""
+    toks = batch.column("toks")
+    offsets = toks.offsets.to_numpy()
+    words = toks.values.field("tok").to_pylist()
+    numbers = [batch.column(c).to_pylist() for c in ("begin", "start", "total")]
+    for row, (begin, start, total) in enumerate(zip(*numbers, strict=True)):
+        lo, hi = int(offsets[row]), int(offsets[row + 1])
+        if hi - lo >= k:
+            yield row, lo, begin, start, total, _gram_hashes(words[lo:hi], k)
+
+
+def _gathered(batch: pa.RecordBatch, rows: list[int], sizes: list[int]) -> pa.Array:
+    return batch.column("repo").take(pa.array(np.repeat(np.array(rows, np.int64), np.array(sizes, np.int64))))
+
+
+def _gram_blocks(sources: DataFrame, channel: str, k: int, reach: int, block: int) -> DataFrame:
+    return blocks(file_tokens(sources, channel), reach, block).where(F.col("total") >= k)
 
 
 def kgrams(sources: DataFrame, k: int, channel: str = "abstract", block: int = BLOCK, neighbours: bool = False) -> DataFrame:
     """(repo, pos, hash) of every k-gram of every stream; with ``neighbours`` also prev and next, the hashes before and after it, or -1 and -2."""
-    b = _gram_rows(file_tokens(sources, channel), k, k if neighbours else k - 1, block)
-    if neighbours:
-        beside = lambda m, i: F.struct(m["h"].alias("h"), m["p"].alias("p"), F.coalesce(F.get("grams", i - 1)["h"], F.lit(-1)).alias("before"), F.coalesce(F.get("grams", i + 1)["h"], F.lit(-2)).alias("after"))
-        b = _computed(b.select("repo", "begin", F.transform("grams", beside).alias("grams")), "grams")
-    rows = b.select("repo", "begin", F.explode("grams").alias("m")).where((F.col("m.p") >= F.col("begin")) & (F.col("m.p") < F.col("begin") + block))
-    return rows.select("repo", F.col("m.p").alias("pos"), F.col("m.h").alias("hash"), *([F.col("m.before").alias("prev"), F.col("m.after").alias("next")] if neighbours else []))
+    names = ["repo", "pos", "hash", *(["prev", "next"] if neighbours else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, parts = [], [], []
+            for row, _, begin, start, _, h in _block_grams(batch, k):
+                pos = np.arange(start, start + len(h))
+                own = (pos >= begin) & (pos < begin + block)
+                cols = [pos, h, np.concatenate([[-1], h[:-1]]), np.concatenate([h[1:], [-2]])]
+                parts.append([c[own] for c in cols[: len(names) - 1]])
+                rows.append(row)
+                sizes.append(int(own.sum()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([_gathered(batch, rows, sizes), *[pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)]], names=names)
+
+    b = _gram_blocks(sources, channel, k, k if neighbours else k - 1, block).select("repo", "total", "begin", "start", F.transform("toks", lambda t: F.struct(t["tok"].alias("tok"))).alias("toks"))
+    return b.mapInArrow(run, T.StructType([T.StructField("repo", b.schema["repo"].dataType), *[T.StructField(n, T.LongType()) for n in names[1:]]]))
 
 
 def winnow(sources: DataFrame, k: int, w: int, channel: str = "abstract", block: int = BLOCK) -> DataFrame:
     """(repo, hash, file, line, pos): leftmost least hash of every window of w grams, once per position."""
-    b = _gram_rows(file_tokens(sources, channel), k, k + w - 2, block)
-    n_grams = F.col("total") - k + 1
-    # Windows that start in this block, and the one before, whose print belongs to the block before.
-    stop = F.least(F.col("begin") + block, F.greatest(F.lit(1).cast("long"), n_grams - w + 1))
-    b = b.withColumn("stop", stop).where("stop > begin")
-    picked = F.transform(F.sequence(F.col("start"), F.col("stop") - 1), lambda i: F.array_min(F.slice("grams", (i - F.col("start") + 1).cast("int"), F.lit(w))))
-    b = _computed(b.withColumn("picked", picked), "picked").withColumn("before", F.when(F.col("start") < F.col("begin"), F.col("picked")[0]["p"]))
-    own = F.filter(F.array_distinct("picked"), lambda m: F.col("before").isNull() | (m["p"] != F.col("before")))
-    rows = b.select("repo", "start", "toks", F.explode(own).alias("m"))
-    at = F.element_at("toks", (F.col("m.p") - F.col("start") + 1).cast("int"))
-    return rows.select("repo", F.col("m.h").alias("hash"), at["file"].alias("file"), at["line"].alias("line"), F.col("m.p").alias("pos"))
+    names = ["repo", "hash", "file", "line", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, parts = [], [], []
+            for row, lo, begin, start, total, h in _block_grams(batch, k):
+                # Windows that start in this block, and the one before, whose print belongs to the block before.
+                stop = min(begin + block, max(1, total - k + 1 - w + 1))
+                if stop <= begin:
+                    continue
+                padded = np.concatenate([h, np.full(w, np.iinfo(np.int64).max)])
+                least = np.lib.stride_tricks.sliding_window_view(padded, w)[: stop - start].argmin(axis=1) + np.arange(stop - start)
+                at = np.unique(least)
+                if start < begin:
+                    at = at[at != least[0]]
+                parts.append((h[at], at + lo, at + start))
+                rows.append(row)
+                sizes.append(len(at))
+            if rows:
+                h, place, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+                tokens = batch.column("toks").values
+                place = pa.array(place)
+                yield pa.RecordBatch.from_arrays([_gathered(batch, rows, sizes), pa.array(h, pa.int64()), tokens.field("file").take(place), tokens.field("line").take(place).cast(pa.int64()), pa.array(pos, pa.int64())], names=names)
+
+    b = _gram_blocks(sources, channel, k, k + w - 2, block).select("repo", "total", "begin", "start", "toks")
+    kinds = [b.schema["repo"].dataType, T.LongType(), T.StringType(), T.LongType(), T.LongType()]
+    out = b.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]))
+    return out.withColumn("line", F.col("line").cast(b.schema["toks"].dataType.elementType["line"].dataType))
 
 
 def density(sources: DataFrame, k: int, w: int) -> DataFrame:

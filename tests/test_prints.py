@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -7,17 +8,10 @@ from codekin.operators.prints import density, kgrams, winnow
 
 
 def naive(tokens, k, w):
-    n = len(tokens) - k + 1
-    if n <= 0:
-        return []
-    h = [int(hashlib.md5(" ".join(tokens[i : i + k]).encode()).hexdigest()[:15], 16) for i in range(n)]
-    out, last = [], -1
-    for i in range(max(1, n - w + 1)):
-        best = min(range(i, min(i + w, n)), key=lambda j: (h[j], j))
-        if best != last:
-            out.append((h[best], best))
-            last = best
-    return out
+    """By the definition: the set of the leftmost least grams of all windows, in order."""
+    grams = [(int(hashlib.md5(" ".join(tokens[i : i + k]).encode()).hexdigest()[:15], 16), i) for i in range(len(tokens) - k + 1)]
+    windows = [grams[i : i + w] for i in range(len(grams) - w + 1)] or ([grams] if grams else [])
+    return sorted({min(x) for x in windows}, key=lambda g: g[1])
 
 
 def stream(texts):
@@ -43,6 +37,16 @@ def test_short_streams(spark):
     assert {r["repo"]: r["count"] for r in got} == {"one": 1, "few": 1}
 
 
+def test_neighbours_cross_blocks(spark):
+    rng = random.Random(2)
+    words = [rng.choice("( ) ; { } = + -".split()) for _ in range(50)]
+    rows = frame(spark, {"r": {"a.cpp": " ".join(words[:20]), "b.cpp": " ".join(words[20:])}})
+    for block in (4, 7, 64):
+        got = {r.pos: (r.prev, r.hash, r.next) for r in kgrams(rows, 3, block=block, neighbours=True).collect()}
+        h = [got[i][1] for i in range(48)]
+        assert len(got) == 48 and got == {i: (h[i - 1] if i else -1, h[i], h[i + 1] if i < 47 else -2) for i in range(48)}
+
+
 def test_grams_cross_files_and_nulls(spark):
     rows = [("r", "a.cpp", "( )"), ("r", "b.cpp", "; {"), ("r", "b.cpp", "; {"), ("r", "c.cpp", None), (None, "a.cpp", "("), ("e", "a.cpp", "")]
     df = spark.createDataFrame(rows, "repo string, relpath string, text string")
