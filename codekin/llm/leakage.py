@@ -29,7 +29,7 @@ from codekin.llm.pages import alike, joined, ordered_lines
 
 GRAM = 16
 BLOCK_GRAMS = 2_000_000
-BITS = 20
+SLOTS = 16  # slots of the bitmap per n-gram, at least
 MIN_WORDS = 15
 MIN_LETTERS = 42  # letters in exact pieces below which a pair of page and item can't hold a leak
 MIN_PIECE = 20  # letters of the longest exact piece of a leak, at least
@@ -90,13 +90,15 @@ class ItemIndex:
         self.hashes = h[order]
         self.item = (np.concatenate(which) if which else np.empty(0, int))[order]
         self.at = (np.concatenate(at) if at else np.empty(0, int))[order]
-        self.bits = np.zeros(1 << BITS, bool)
-        self.bits[(self.hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
+        slots = 1 << max(16, (len(h) * SLOTS - 1).bit_length())
+        self.mask = np.uint64(slots - 1)
+        self.bits = np.zeros(slots, bool)
+        self.bits[(self.hashes & self.mask).astype(np.int64)] = True
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, position in the item, position in data) of every equal window."""
         h = gram_hashes(data)
-        maybe = np.flatnonzero(self.bits[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)])
+        maybe = np.flatnonzero(self.bits[(h & self.mask).astype(np.int64)])
         low = np.searchsorted(self.hashes, h[maybe], "left")
         count = np.searchsorted(self.hashes, h[maybe], "right") - low
         pos = np.repeat(maybe, count)
@@ -150,9 +152,11 @@ def covered_words(stream: bytes, word_ends: np.ndarray, page: bytes, pieces: lis
     pieces = sorted(pieces)
     best = [0.0] * len(pieces)
     back = [-1] * len(pieces)
+    near: list[int] = []  # pieces that end close enough to a later start; starts only rise
     for k, (s, e, p) in enumerate(pieces):
         best[k] = e - s
-        for m in range(k):
+        near = [m for m in near if s - pieces[m][1] <= MAX_SLIP]
+        for m in near:
             s0, e0, p0 = pieces[m]
             if not (p > p0 and e > e0 and -GRAM <= s - e0 <= MAX_SLIP and best[m] + e - max(s, e0) > best[k]):
                 continue
@@ -165,10 +169,12 @@ def covered_words(stream: bytes, word_ends: np.ndarray, page: bytes, pieces: lis
                 joins = MAX_EDITS < extra <= MAX_INSERT and s - e0 <= 2 * LINE_SLACK and _between_lines(q0, p, line_starts)
             if joins:
                 best[k], back[k] = best[m] + e - max(s, e0), m
+        near.append(k)
     most, whole = 0, False
     used: set[int] = set()
-    for k in sorted(range(len(pieces)), key=lambda k: -best[k])[:4]:
-        if k in used:
+    for k in sorted(range(len(pieces)), key=lambda k: -best[k]):
+        # Every chain end that isn't part of a better chain; a short one can't reach further than a seed's slips let it.
+        if k in used or most and best[k] < MIN_PIECE:
             continue
         m = k
         while back[m] >= 0:

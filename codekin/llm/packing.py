@@ -20,6 +20,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,22 +35,24 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _encoders: dict[str, object] = {}
 
 
-def encoder(path: str = TOKENIZER):
-    """The tokenizer of a rank file, made once per worker process."""
-    if path not in _encoders:
+def encoder(name: str):
+    """The tokenizer of a rank file that was sent to the executors, made once per worker process."""
+    if name not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        _encoders[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[name]
 
 
 def token_counts(texts: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, n): number of tokens of each text; special strings are ordinary text."""
+    """(id, n): number of tokens of each text; special strings are ordinary text. ``tokenizer`` is a rank file the driver can read; executors get it from there."""
+    texts.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(name)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["id", "n"])
