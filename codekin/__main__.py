@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codekin.plans import report
 from codekin.plans.pipeline import Corpus
-from codekin.scratch import materialise
+from codekin.scratch import clean, materialise
 from codekin.sources import files, specs
 
 
@@ -42,6 +42,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.command == "projects":
         print(*specs.available(a.folder), sep="\n")
         return
+    own = spark is None
     spark = spark or SparkSession.builder.appName("codekin").getOrCreate()
     spec = specs.load(a.project)
     corpus = Corpus(spark, a.corpus, replace(spec, top_n=a.top) if getattr(a, "top", None) else spec)
@@ -60,6 +61,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         Path(a.out).mkdir(parents=True, exist_ok=True)
         for r in subs.toLocalIterator():  # a page is asked for each submission
             Path(a.out, f"{r.repo}.html").write_text(corpus.report(texts, r.repo, matches))
+    if own:
+        clean(spark)
 
 
 if __name__ == "__main__":

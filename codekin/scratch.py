@@ -7,6 +7,8 @@ again from the start. The folder comes from ``spark.checkpoint.dir``. Where that
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,7 @@ def scratch_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="codekin-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/codekin-{spark.sparkContext.applicationId}"
 
@@ -41,6 +44,13 @@ def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     return back
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; results that still read them must be written before."""
+    jpath, fs = _file(spark, scratch_dir(spark))
+    fs.delete(jpath, True)
+    _KEPT.clear()
+
+
 _KEPT: dict[tuple, tuple] = {}
 
 

@@ -5,6 +5,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from codekin.__main__ import main
 from codekin.operators import discover, locate, structure, verify
 from codekin.plans.pipeline import Corpus
 from codekin.plans.report import page, snippets, visible
@@ -128,6 +129,24 @@ def test_pipeline_checks_and_report(spark, tmp_path):
     assert sorted((r.start, r.line, r.marked) for r in got) == [(2, 1, False), (2, 2, True), (2, 3, True), (2, 4, False), (12, 11, False), (12, 12, True)]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    for r in ("u~a", "u~b"):
+        (tmp_path / "tree" / r).mkdir(parents=True)
+        (tmp_path / "tree" / r / "a.cpp").write_text("int f(int n) { if (n > 3) { return n * 2; } return g(n); }\n" * (2 if r == "u~a" else 3) + f"int {r[0]};\n")
+    (tmp_path / "p.json").write_text(json.dumps({"name": "p", "compare": {"k_high": 5, "winnow_window": 2, "boilerplate_df": 2}}))
+    common = ["-p", str(tmp_path / "p.json"), "-c", str(tmp_path / "corpus")]
+    main(["index", *common, f"file:{tmp_path}/tree"], spark)
+    main(["index", *common, f"file:{tmp_path}/tree"], spark)
+    main(["status", *common], spark)
+    (tmp_path / "subs").mkdir()
+    shutil.copytree(tmp_path / "tree" / "u~a", tmp_path / "subs" / "u~a")
+    main(["check", *common, f"file:{tmp_path}/subs", "--all", "--top", "3", "--out", str(tmp_path / "out")], spark)
+    main(["projects", str(tmp_path)])
+    said = capsys.readouterr().out
+    assert "built\n" in said and "up to date\n" in said and "meta" in said and "HIGH" in said and said.endswith("p\n")
+    assert "u~b" in (tmp_path / "out" / "u~a.html").read_text()
+
+
 def test_subproject_submissions_descend(spark, tmp_path):
     spec = specs.Spec("x", rules=verify.Rules(required=["Form"], required_threshold=1, min_files=2, reject=["other module"]), module=locate.Module(["(^|/)ex01(/|$)"], ["Form"]))
     c = Corpus(spark, str(tmp_path), spec)
