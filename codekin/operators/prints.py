@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from codekin.functions.paths import language_of
 from codekin.functions.tokens import source_tokens
+from codekin.scratch import materialise
 
 BLOCK = 4096
 
@@ -84,7 +85,8 @@ def _gathered(batch: pa.RecordBatch, rows: list[int], sizes: list[int]) -> pa.Ar
 
 
 def _gram_blocks(sources: DataFrame, channel: str, k: int, reach: int, block: int) -> DataFrame:
-    return blocks(file_tokens(sources, channel), reach, block).where(F.col("total") >= k)
+    # Written once, as lengths and blocks both need the tokens and finding them costs most.
+    return blocks(materialise(file_tokens(sources, channel), "tokens"), reach, block).where(F.col("total") >= k)
 
 
 def kgrams(sources: DataFrame, k: int, channel: str = "abstract", block: int = BLOCK, neighbours: bool = False) -> DataFrame:

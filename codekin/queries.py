@@ -116,9 +116,9 @@ def boilerplate(spark: SparkSession, d: str) -> DataFrame:
     return index.boilerplate(table(spark, d, "print"), table(spark, d, "repo"))
 
 
-def _stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+def _stored(spark: SparkSession, d: str, name: str, build, tables: tuple[str, ...] = ("print", "repo")) -> DataFrame:
     """A table of the index over ``d``: built once, as an index is, and read by every query after that."""
-    return kept(spark, [f"{d}/print.parquet", f"{d}/repo.parquet"], name, build)
+    return kept(spark, [f"{d}/{t}.parquet" for t in tables], name, build)
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +215,7 @@ def check_evidence_gate(spark: SparkSession, d: str) -> DataFrame:
 def check_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """The best matches with the verdict over all channels; the other check queries stop at containment, as their SQL does."""
     named = materialise(_named(spark, d), "named")
-    null = _stored(spark, d, "ceilings", lambda: channel_evidence.ceilings(named, _representatives(spark, d), STREAM, NODES, WEIGHT))
+    null = _stored(spark, d, "ceilings", lambda: channel_evidence.ceilings(named, _representatives(spark, d), STREAM, NODES, WEIGHT), ("print", "repo", "source_files"))
     out = channel_evidence.judged(check.top_matches(_ranked(spark, d)), named.where(F.col("repo") % EVERY == 0), named, null, NODES, WEIGHT)
     return out.select("sub", "repo", "rank", "containment", "longest", "ast_n", "ast_frac", "sig_n", "sig_frac", "verdict")
 
