@@ -28,11 +28,12 @@ def cpp_only(sources: DataFrame) -> DataFrame:
 
 def run_null(sources: DataFrame, representatives: DataFrame, least: int = MIN_STREAM) -> DataFrame:
     """One row over the longest runs of sampled pairs of representatives (repo) whose streams are longer than ``least`` tokens; the expected top is that of a search through all representatives. sources: (repo, relpath, text)."""
-    tokens = prints.file_tokens(sources)
+    # All that counts of most repositories is whether they have a token; lengths are those of the sample only.
+    known = materialise(representatives.select("repo").distinct().join(prints.with_tokens(sources), "repo", "left_semi"), "known")
+    picked = materialise(calibrate.draw(known, ["repo"], 42, SAMPLE_REPOS), "picked")
+    tokens = prints.file_tokens(sources.join(picked, "repo", "left_semi"))
     lengths = materialise(prints.offsets(tokens).groupBy("repo").agg(F.max("total").alias("n")), "lengths")
-    known = materialise(representatives.select("repo").distinct().join(lengths, "repo", "left_semi"), "known")
-    picked = calibrate.draw(known, ["repo"], 42, SAMPLE_REPOS)
-    pairs = materialise(calibrate.pairs_of(lengths.where(F.col("n") > least).join(picked, "repo", "left_semi"), 42, 400), "sample")
+    pairs = materialise(calibrate.pairs_of(lengths.where(F.col("n") > least), 42, 400), "sample")
     sampled = sources.join(pairs.select(F.explode(F.array("a", "b")).alias("repo")).distinct(), "repo", "left_semi")
     found = runs.maximal_runs(pairs, prints.kgrams(sampled, runs.K, neighbours=True), runs.K)
     return calibrate.run_null_stats(materialise(runs.longest_runs(pairs, found), "longest"), known.count())
@@ -76,7 +77,7 @@ def channels(pairs: DataFrame, submissions: DataFrame, sources: DataFrame, min_n
     both = submissions.select(key("s:", "repo").alias("repo"), "relpath", "text").unionByName(sources.select(key("c:", "repo").alias("repo"), "relpath", "text"))
     both = materialise(both.join(named.select(F.explode(F.array("a", "b")).alias("repo")).distinct(), "repo", "left_semi"), "texts")
     # Each channel is written before the next one, which keeps the plans, and what the driver holds of them, small.
-    grams = materialise(prints.kgrams(both, runs.K, neighbours=True), "grams")
+    grams = prints.kgrams(both, runs.K, neighbours=True)
     out = named.join(materialise(runs.longest_runs(named, runs.maximal_runs(named.select("a", "b"), grams)), "longest"), ["a", "b"], "left")
     for name, found, smaller in (("ast", structure.function_shapes(cpp_only(both), min_nodes), False), ("sig", structure.type_signatures(cpp_only(both), min_weight), True)):
         scores = materialise(structure.channel_scores(materialise(found, name), named, smaller), "scores")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codekin.functions.paths import language_of
-from codekin.functions.tokens import source_tokens
+from codekin.functions.tokens import has_tokens, source_tokens
 from codekin.scratch import materialise
 
 BLOCK = 4096
@@ -34,10 +34,18 @@ def _computed(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*rest, F.explode(F.array(F.struct(*cols))).alias("_c")).select(*rest, *[F.col(f"_c.{c}").alias(c) for c in cols])
 
 
+def _once(sources: DataFrame) -> DataFrame:
+    return sources.where("repo is not null and relpath is not null and text is not null").groupBy("repo", "relpath").agg(F.max("text").alias("text"))
+
+
+def with_tokens(sources: DataFrame) -> DataFrame:
+    """(repo): repositories whose stream has a token."""
+    return _once(sources).where(has_tokens(F.col("text"), language_of(F.col("relpath")))).select("repo").distinct()
+
+
 def file_tokens(sources: DataFrame, channel: str = "abstract") -> DataFrame:
     """(repo, relpath, toks): tokens with line numbers of each file."""
-    once = sources.where("repo is not null and relpath is not null and text is not null").groupBy("repo", "relpath").agg(F.max("text").alias("text"))
-    return once.select("repo", "relpath", source_tokens(F.col("text"), language_of(F.col("relpath")), channel).alias("toks"))
+    return _once(sources).select("repo", "relpath", source_tokens(F.col("text"), language_of(F.col("relpath")), channel).alias("toks"))
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
@@ -49,7 +57,8 @@ def offsets(tokens: DataFrame) -> DataFrame:
 
 def blocks(tokens: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
     """(repo, total, start, toks): tokens start .. start + size of each block, with one token before and ``reach`` after it."""
-    placed = tokens.join(offsets(tokens), ["repo", "relpath"])
+    # Never by broadcast: a written table of tokens seems small by its compressed files, and the driver would hold it a hundred times larger.
+    placed = tokens.join(offsets(tokens).hint("merge"), ["repo", "relpath"])
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("offset") - reach) / block))
     last = F.floor((F.col("offset") + F.size("toks")) / block)
     parts = placed.withColumn("b", F.explode(F.sequence(first, last)))

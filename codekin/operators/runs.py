@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codekin.scratch import discard, materialise
+
 K = 12
 
 
@@ -39,9 +41,11 @@ def _ends(pairs: DataFrame, grams: DataFrame, side: str, none: int) -> DataFrame
 
 def maximal_runs(pairs: DataFrame, grams: DataFrame, least: int = 20, k: int = K) -> DataFrame:
     """(a, b, i, j, tokens): runs of ``least`` tokens or more; grams: (repo, pos, hash) of every k-gram, dense in pos, with prev and next if at hand."""
-    g = _with_neighbours(grams.join(pairs.select(F.col("a").alias("repo")).unionByName(pairs.select(F.col("b").alias("repo"))).distinct(), "repo", "left_semi"))
-    starts = _ends(pairs, g, "prev", -1).withColumn("end", F.lit(0))
-    ends = _ends(pairs, g, "next", -2).withColumn("end", F.lit(1))
+    # Grams, starts and ends are written one after the other: in one plan each would stand many times, and the driver holds all of it.
+    g = materialise(_with_neighbours(grams.join(pairs.select(F.col("a").alias("repo")).unionByName(pairs.select(F.col("b").alias("repo"))).distinct(), "repo", "left_semi")), "grams")
+    starts = materialise(_ends(pairs, g, "prev", -1), "starts").withColumn("end", F.lit(0))
+    ends = materialise(_ends(pairs, g, "next", -2), "ends").withColumn("end", F.lit(1))
+    discard(g)
     # The i-th start on a diagonal goes with the i-th end; positions on it rise together.
     w = Window.partitionBy("a", "b", F.col("i") - F.col("j")).orderBy("i", "end")
     marks = starts.unionByName(ends).withColumn("stop", F.lead("i").over(w))

@@ -9,7 +9,7 @@ from codekin.functions.paths import language_of, selected
 from codekin.functions.tokens import evidence_texts, normal_type, strip_cpp
 from codekin.operators import calibrate, check, clusters, discover, evidence as channel_evidence, hotkeys, index, locate, prints, runs, structure, verify
 from codekin.plans import report
-from codekin.scratch import kept, materialise
+from codekin.scratch import discard, kept, materialise
 from codekin.sources.tables import table
 
 K, WINDOW = 25, 8
@@ -162,7 +162,13 @@ def _representatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _representative_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _stored(spark, d, "pairs", lambda: index.pair_containment(index.buckets(_clean(spark, d).join(_representatives(spark, d), "repo", "left_semi"))))
+    def build() -> DataFrame:
+        sets = materialise(_clean(spark, d).join(_representatives(spark, d), "repo", "left_semi"), "sets")
+        b = index.buckets(sets)
+        discard(sets)
+        return index.pair_containment(b)
+
+    return _stored(spark, d, "pairs", build)
 
 
 def baseline_stats(spark: SparkSession, d: str) -> DataFrame:

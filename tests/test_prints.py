@@ -4,7 +4,8 @@ import random
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from codekin.operators.prints import density, kgrams, winnow
+from codekin.operators.prints import blocks, density, file_tokens, kgrams, winnow, with_tokens
+from codekin.scratch import materialise
 
 
 def naive(tokens, k, w):
@@ -63,3 +64,19 @@ def test_shared_run_shares_a_print(spark):
     for r in winnow(frame(spark, repos), k, w).collect():
         sets.setdefault(r.repo, set()).add(r.hash)
     assert sets["a"] & sets["b"]
+
+
+def test_token_arrays_are_not_broadcast(spark):
+    rows = frame(spark, {"r": {"a.cpp": "( ) ; " * 2000}})
+    tokens = materialise(file_tokens(rows), "tokens")
+    assert "Broadcast" not in blocks(tokens, 3)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_with_tokens_agrees_with_the_tokens(spark):
+    texts = ["", " \t\n\u00a0", "// only a remark", "/* a\n */ // b", "/* open", "x", "\u00e9", "\u00e9a", "\u0663", "\u00bd", "\u0301", "\u2028", '"', "'", "\\", "# c++", "_", "\x00", "\U0001f600", "$", "#\n \n", "\\#"]
+    rows = [(f"{p}{i}", f"{p}", t) for p in ("a.cpp", "Dockerfile", "run.sh", "a.txt") for i, t in enumerate(texts)]
+    rows += [("n", "a.cpp", None), (None, "a.cpp", "x"), ("p", None, "x"), ("two", "a.cpp", "x"), ("two", "a.cpp", "//~"), ("two", "a.cpp", "// ~")]
+    df = spark.createDataFrame(rows, "repo string, relpath string, text string")
+    want = {r.repo for r in file_tokens(df).where("size(toks) > 0").collect()}
+    got = [r.repo for r in with_tokens(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
