@@ -28,7 +28,7 @@ from codekin.scratch import materialise
 BLOCK = 4096
 
 
-def _computed(df: DataFrame, *cols: str) -> DataFrame:
+def computed(df: DataFrame, *cols: str) -> DataFrame:
     """Keeps the optimizer from repeating costly array columns inside the expressions that use them: a generator ends their inlining."""
     rest = [c for c in df.columns if c not in cols]
     return df.select(*rest, F.explode(F.array(F.struct(*cols))).alias("_c")).select(*rest, *[F.col(f"_c.{c}").alias(c) for c in cols])
@@ -67,8 +67,8 @@ def blocks(tokens: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
     parts = parts.withColumns({"lo": lo, "hi": hi}).where("hi > lo")
     piece = F.transform(F.slice("toks", (F.col("lo") - F.col("offset") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), lambda t: F.struct(t["tok"].alias("tok"), t["line"].alias("line"), F.col("relpath").alias("file")))
     grouped = parts.select("repo", "total", "b", "lo", piece.alias("piece")).groupBy("repo", "total", "b").agg(F.array_sort(F.collect_list(F.struct("lo", "piece"))).alias("pieces"))
-    grouped = _computed(grouped, "pieces")
-    return _computed(grouped.select("repo", "total", (F.col("b") * block).alias("begin"), F.col("pieces")[0]["lo"].alias("start"), F.flatten(F.transform("pieces", lambda p: p["piece"])).alias("toks")), "toks")
+    grouped = computed(grouped, "pieces")
+    return computed(grouped.select("repo", "total", (F.col("b") * block).alias("begin"), F.col("pieces")[0]["lo"].alias("start"), F.flatten(F.transform("pieces", lambda p: p["piece"])).alias("toks")), "toks")
 
 
 def _gram_hashes(words: list[str], k: int) -> np.ndarray:

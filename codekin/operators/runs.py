@@ -113,12 +113,14 @@ def _longest(pairs: pa.Table, streams: pa.Table, least: int) -> tuple[list, list
 def longest_common(pairs: DataFrame, sources: DataFrame, least: int = LEAST, long: int = LONG) -> DataFrame:
     """(a, b, longest) for every pair (a, b) of keys (strings) of ``sources`` (repo, relpath, text): the longest run of ``least`` tokens or more, else 0."""
     once = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "once")
-    files = materialise(prints.file_tokens(sources).where("size(toks) > 0").select("repo", "relpath", F.size("toks").alias("n"), F.array_join(F.transform("toks", lambda t: t["tok"]), " ").alias("text")), "files")
+    tokens = prints.computed(prints.file_tokens(sources), "toks").select("repo", "relpath", F.size("toks").alias("n"), F.array_join(F.transform("toks", lambda t: t["tok"]), " ").alias("text"))
+    files = materialise(tokens, "files")
+    stored, files = files, files.where("n > 0")
     lengths = materialise(files.groupBy("repo").agg(F.sum("n").alias("n"), F.sum(F.length("text")).alias("chars")), "lengths").where(F.col("n") >= least)
     fits = lengths.where(F.col("n") <= long).select("repo")
     in_order = F.array_sort(F.collect_list(F.struct("relpath", "text")))
     streams = materialise(files.join(fits.hint("merge"), "repo", "left_semi").groupBy("repo").agg(in_order.alias("files")).select("repo", F.array_join(F.transform("files", lambda f: f["text"]), " ").alias("text")), "streams")
-    discard(files)
+    discard(stored)
     sized = once.join(lengths.toDF("a", "na", "ca"), "a").join(lengths.toDF("b", "nb", "cb"), "b")
     sized = materialise(sized.withColumn("fits", F.greatest("na", "nb") <= long).select("a", "b", "cb", "fits"), "sized")
     n_long, chars = sized.agg(F.count_if(~F.col("fits")), F.coalesce(F.sum(F.when(F.col("fits"), F.col("cb"))), F.lit(0))).first()
